@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from blockloom.llm import exact_dedup, packing, prefix_bpe, simhash
+from blockloom.llm import exact_dedup, packing, prefix_bpe, simhash, substring_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op7_prefix_bpe": prefix_bpe.op7_prefix_bpe,
     "op10_simhash": simhash.op10_simhash,

@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)
-PIECE = 1 << 22
+PIECE = 1 << 21
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,20 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64; the longest table asked for so far is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = _powers(n, base)
+        if n <= 2 * PIECE:
+            _POWERS[base] = known
+    return known[:n]
+
+
+def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, U(base & (2**64 - 1)))
     if n:
         out[0] = U(1)
