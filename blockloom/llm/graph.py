@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     ends and loops are ignored, repeated links do no harm."""
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    now = cut(_small_star(now))
+    now = cut(_small_star(cut(now)))
     seen = None
     while True:
         sign = now.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
