@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from blockloom.llm import exact_dedup, packing, prefix_bpe, simhash, substring_dedup
+from blockloom.llm import ball_tree, exact_dedup, packing, prefix_bpe, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_ball_tree": ball_tree.op6_ball_tree,
     "op7_prefix_bpe": prefix_bpe.op7_prefix_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_ball_tree": ball_tree.ORACLE}
