@@ -21,6 +21,7 @@ SHARD_ROWS = 16_384  # rows of a shard, about
 QUERY_ROWS = 1024  # queries of a block, about
 GROUPS = 8  # tasks that a query block's shards are dealt to
 LEAF = 128
+NO_SCORE = -(2**62)
 
 
 def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +61,7 @@ class Best:
 
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
-        self.score = np.full((queries, k), np.iinfo(np.int64).min)
+        self.score = np.full((queries, k), NO_SCORE)
         self.vec = np.full((queries, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -100,7 +101,7 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, vectors: np.n
                 some = slice(at, min(hi, at + 4096))
                 scores = np.rint(points[rows] @ wide[some].T).astype(np.int64) if exact else queries[rows].astype(np.int64) @ vectors[some].astype(np.int64).T
                 mine = query_ids[rows][:, None] == ids[some][None]
-                scores[mine] = np.iinfo(np.int64).min
+                scores[mine] = NO_SCORE
                 best.offer(rows, scores, ids[some])
             continue
         bounds = [points[rows] @ centres[c] + norm[rows] * radii[c] for c in (left, right)]
@@ -137,7 +138,7 @@ def _search_task(k: int):
                 best, queries, query_ids, read("vectors", i, np.int64).reshape(-1, dim), read("ids", i, np.int64),
                 read("nodes", i, np.int64).reshape(-1, 4), read("centres", i, np.float64).reshape(-1, dim), read("radii", i, np.float64),
             )
-        row, col = np.nonzero(best.score > np.iinfo(np.int64).min)
+        row, col = np.nonzero(best.score > NO_SCORE)
         return pa.table({"query_id": query_ids[row], "vec_id": best.vec[row, col], "score": best.score[row, col]})
 
     return run

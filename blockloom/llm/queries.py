@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from blockloom.llm import ball_tree, exact_dedup, packing, prefix_bpe, simhash, substring_dedup, toxicity
+from blockloom.llm import ball_tree, exact_dedup, packing, prefix_bpe, simhash, substring_dedup, tag_paths, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_tag_paths": tag_paths.op4_tag_paths,
     "op5_packing": packing.op5_packing,
     "op6_ball_tree": ball_tree.op6_ball_tree,
     "op7_prefix_bpe": prefix_bpe.op7_prefix_bpe,
