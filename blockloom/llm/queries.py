@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from blockloom.llm import ball_tree, exact_dedup, packing, prefix_bpe, simhash, substring_dedup, tag_paths, toxicity
+from blockloom.llm import ball_tree, exact_dedup, packing, prefix_bpe, pseudonyms, simhash, substring_dedup, tag_paths, toxicity
 
 QUERIES = {
+    "op1_pseudonyms": pseudonyms.op1_pseudonyms,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_tag_paths": tag_paths.op4_tag_paths,
