@@ -164,11 +164,11 @@ def _mismatches(source: DataFrame, marked: DataFrame, classes: DataFrame, level:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, all columns. One row of each class, also where ids repeat:
     the row is found again by its id and text, and of repeated rows one is taken."""
-    kept = exact_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
+    key = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), sha)
+    kept = exact_classes(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.lower(F.hex("sha"))).alias("_key"))
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(text, 256))).withColumn("_id", F.col(id_col).cast("bigint"))
-    joined = marked.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._sha") == F.col("k._sha")), "left_semi")
-    return joined.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    marked = docs.withColumn("_key", key(F.col(id_col).cast("bigint"), F.sha2(text, 256)))
+    return marked.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

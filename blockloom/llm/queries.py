@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import ball_tree, exact_dedup, packing, prefix_bpe, pseudonyms, simhash, substring_dedup, tag_paths, toxicity
+from blockloom.llm import ball_tree, exact_dedup, fuzzy_lines, packing, prefix_bpe, pseudonyms, simhash, substring_dedup, tag_paths, toxicity
 
 QUERIES = {
     "op1_pseudonyms": pseudonyms.op1_pseudonyms,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ball_tree": ball_tree.op6_ball_tree,
     "op7_prefix_bpe": prefix_bpe.op7_prefix_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_fuzzy_lines": fuzzy_lines.op9_fuzzy_lines,
     "op10_simhash": simhash.op10_simhash,
 }
 

@@ -215,9 +215,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id names their component; where ids repeat, one row each."""
-    kept = near_classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.withColumn("_id", F.col(id_col).cast("bigint"))
-    return marked.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")), "left_semi").dropDuplicates(["_id"]).drop("_id")
+    key = lambda i: F.coalesce(i.cast("bigint").cast("string"), F.lit(""))
+    kept = near_classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("_key"))
+    return docs.withColumn("_key", key(F.col(id_col))).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
