@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.bpe_arrays import Merges, byte_matrix
-from blockloom.llm.piecewise import PieceCache
+from blockloom.llm.piecewise import PieceCache, no_collector
 from blockloom.llm.words import slices
 
 CAPACITY = 4096
@@ -147,8 +147,18 @@ class WordTokenizer:
             out.update((w, data[a:b]) for (_, w), a, b in zip(some, [0, *ends], ends, strict=False))
         return out
 
+    def split(self, piece: str) -> list[str] | tuple[str, ...] | None:
+        """Lower-case words of a piece, None if it is one for the library."""
+        if len(piece) >= LONG // 2 or not (piece.isascii() or max(piece) <= "\xff"):
+            return None
+        if piece.isalpha():
+            return (piece.lower(),)
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return piece[:-1].lower(), piece[-1]
+        return self.pattern.findall(piece.lower())
+
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(p.lower()) if len(p) < LONG // 2 and (p.isascii() or max(p) <= "\xff") else None for p in pieces]
+        split = list(map(self.split, pieces))
         words = self.words(list({w for ws in split if ws for w in ws}))
         out = [b"" if ws is None else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in split]
         other = [i for i, ws in enumerate(split) if ws is None]
@@ -199,7 +209,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), cache, end), strict=True):
+                with no_collector():
+                    tokens = token_bytes(part.column(1).to_pylist(), cache, end)
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens, strict=True):
                     rows.extend(packer.add(doc_id, ids))
                     if len(rows) >= 20_000:
                         yield out()

@@ -3,11 +3,13 @@ once. The cache is bounded: two generations of at most `most` pieces each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 
 class PieceCache:
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 600_000, longest: int = 64) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.new: dict = {}
         self.old: dict = {}
@@ -15,13 +17,28 @@ class PieceCache:
     def look_up(self, pieces: list[str]) -> list:
         """The value of each piece, in order."""
         out = list(map(self.new.get, pieces))
-        if None not in out:
+        absent = [i for i, v in enumerate(out) if v is None]
+        if not absent:
             return out
-        absent = {p for p, v in zip(pieces, out, strict=True) if v is None}
-        found = {p: v for p in absent if (v := self.old.get(p)) is not None}
-        rest = [p for p in absent if p not in found]
+        found = {pieces[i]: None for i in absent}
+        old = self.old.get
+        rest = [p for p in found if (v := old(p)) is None or found.update({p: v})]
         found.update(zip(rest, self.encode(rest), strict=True))
+        for i in absent:
+            out[i] = found[pieces[i]]
         if len(self.new) + len(found) > self.most:
             self.old, self.new = self.new, {}
         self.new.update((p, v) for p, v in found.items() if len(p) <= self.longest)
-        return [found[p] if v is None else v for p, v in zip(pieces, out, strict=True)]
+        return out
+
+
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """The garbage collector off: it would walk millions of small values that hold no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()

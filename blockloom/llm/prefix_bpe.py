@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.bpe_arrays import Prefixes
-from blockloom.llm.piecewise import PieceCache
+from blockloom.llm.piecewise import PieceCache, no_collector
 from blockloom.llm.words import slices
 
 MOST_PAIRS = 1_000_000
@@ -120,7 +120,7 @@ class Encoder:
         self.v = Vocabulary(load_ranks(path))
         self.many = Prefixes(self.v.ranks, MOST_PAIRS)
         self.pattern = regex.compile(pattern)
-        self.cache = PieceCache(lambda pieces: self._pieces(pieces, " "))
+        self.cache = PieceCache(lambda pieces: self._pieces(pieces, " "), most=300_000)
         self.first = PieceCache(lambda pieces: self._pieces(pieces, ""), most=50_000)
 
     def words(self, words: list[str]) -> dict[str, list[int]]:
@@ -213,18 +213,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    def row(parts: list[tuple[int, bytes, bytes]]) -> tuple:
+        number = sum([p[0] for p in parts])
+        ids = b",".join([p[1] for p in parts if p[0]])
+        decoded = b"".join([p[2] for p in parts])
+        if digest:
+            return number, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return number, np.array(ids.split(b","), np.int32) if number else np.zeros(0, np.int32), decoded
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
             rows = []
-            for parts in (p for part in slices(batch, "text") for p in e.parts(part.column(1).to_pylist())):
-                number = sum(p[0] for p in parts)
-                ids = b",".join([p[1] for p in parts if p[0]])
-                decoded = b"".join([p[2] for p in parts])
-                if digest:
-                    rows.append((number, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                else:
-                    rows.append((number, np.array(ids.split(b","), np.int32) if number else np.zeros(0, np.int32), decoded))
+            for part in slices(batch, "text"):
+                with no_collector():
+                    rows += [row(parts) for parts in e.parts(part.column(1).to_pylist())]
             kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.int64(), pa.list_(pa.int32()), pa.binary()]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
