@@ -1,4 +1,391 @@
-"""Registry of the engine's queries."""
+"""The engine's queries over the shared tables, and the SQL they are held against."""
+
+from __future__ import annotations
+
+import base64
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from blockloom.functions import columns as C
+from blockloom.operators import archive as A
+from blockloom.operators import relational as R
+from blockloom.operators import stats as S
+from blockloom.streaming import chunks as stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; a temporary one where none is named."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/blockloom"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def _coded(text: str = "text"):
+    return C.bz2_decompress(C.bz2_compress(F.col(text))).cast("string")
+
+
+@query("SELECT doc_id, text FROM documents")
+def roundtrip_documents(spark, d):
+    return _table(spark, d, "documents").select("doc_id", _coded().alias("text"))
+
+
+@query("SELECT page_id, html FROM pages")
+def roundtrip_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", _coded("html").alias("html"))
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def roundtrip_conversations(spark, d):
+    return _table(spark, d, "conversations").select("conv_id", "turn", _coded().alias("text"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def roundtrip_benchmark_strict(spark, d):
+    """Every block is read bit by bit."""
+    return _table(spark, d, "benchmark").select("item_id", C.bz2_decompress(C.bz2_compress("text", 1), backend="strict").cast("string").alias("text"))
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS n FROM embeddings")
+def roundtrip_embeddings(spark, d):
+    packed = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")
+    out = C.bz2_decompress(C.bz2_compress(packed)).cast("string")
+    return _table(spark, d, "embeddings").select("vec_id", F.size(F.split(out, ",")).cast("bigint").alias("n"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def parallel_encode_decode(spark, d):
+    """Slices encoded and segments decoded in parallel, pieces put together again."""
+    raw = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    archives = A.encode(raw, level=1)
+    whole = A.assemble(A.decode(archives, concurrency="auto"))
+    return whole.select(F.col("path").cast("bigint").alias("doc_id"), F.col("content").cast("string").alias("text"))
+
+
+@query("SELECT doc_id, 1::BIGINT AS members, 1::BIGINT AS blocks, strlen(text)::BIGINT AS raw_len FROM documents")
+def block_inventory(spark, d):
+    """The texts are below one block's size."""
+    coded = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), C.bz2_compress("text").alias("content"))
+    found = A.blocks(coded).groupBy("path").agg(F.sum(F.expr("if(block is null, 1L, 0L)")).alias("members"), F.count("block").alias("blocks"), F.sum("raw_len").alias("raw_len"))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), "members", "blocks", "raw_len")
+
+
+@query()
+def compression_ratio_by_lang(spark, d):
+    """Raw and compressed bytes and their ratio; no SQL engine here encodes this format."""
+    coded = _table(spark, d, "documents").select("lang", F.octet_length("text").alias("raw"), F.length(C.bz2_compress("text")).alias("packed"))
+    return coded.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"), (100 * F.sum("packed") / F.sum("raw")).alias("ratio"))
+
+
+@query("SELECT p_partkey, 1::BIGINT AS blocks, 1::BIGINT AS ends, 32::BIGINT AS first_bit FROM part")
+def marker_scan(spark, d):
+    coded = _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), C.bz2_compress("p_name").alias("content"))
+    found = A.markers(coded).groupBy("path").agg(F.sum(F.expr("if(kind = 'block', 1L, 0L)")).alias("blocks"), F.sum(F.expr("if(kind = 'end', 1L, 0L)")).alias("ends"), F.min("bit").alias("first_bit"))
+    return found.select(F.col("path").cast("bigint").alias("p_partkey"), "blocks", "ends", "first_bit")
+
+
+@query("SELECT user_id, event_id AS bit, event_type AS kind, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS end_bit FROM events")
+def marker_segments(spark, d):
+    rows = _table(spark, d, "events").select("user_id", F.col("event_id").alias("bit"), F.col("event_type").alias("kind"))
+    return A.segments(rows, "user_id").select("user_id", "bit", "kind", "end_bit")
+
+
+@query("SELECT p_partkey, true AS is_magic, 1 + (p_partkey % 9)::INTEGER AS level FROM part WHERE p_partkey % 9 IN (0, 8)")
+def member_headers(spark, d):
+    part = _table(spark, d, "part").where("p_partkey % 9 in (0, 8)")
+    content = F.when(F.expr("p_partkey % 9 = 0"), C.bz2_compress("p_name", 1)).otherwise(C.bz2_compress("p_name", 9))
+    return A.members(part.select("p_partkey", content.alias("content")), "p_partkey")
+
+
+@query("SELECT ascii(c)::INTEGER AS byte, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS c FROM part) GROUP BY 1")
+def byte_histogram(spark, d):
+    return R.byte_histogram(_table(spark, d, "part"), "p_name")
+
+
+@query(
+    "WITH h AS (SELECT ascii(c)::INTEGER AS byte, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS c FROM part) GROUP BY 1)"
+    " SELECT byte, n, coalesce(sum(n) OVER (ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM h"
+)
+def exclusive_prefix_counts(spark, d):
+    return R.exclusive_prefix(R.byte_histogram(_table(spark, d, "part"), "p_name"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ''))), '') AS symbols, len(list_distinct(string_split(p_name, '')))::INTEGER + 2 AS alphabet_size FROM part")
+def symbol_map(spark, d):
+    return R.symbol_map(_table(spark, d, "part"), "p_partkey", "p_name")
+
+
+_CHARS = "ch AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS sym, generate_subscripts(string_split(p_name, ''), 1) - 1 AS pos FROM part)"
+_RUNS = (
+    f"WITH {_CHARS}, i AS (SELECT *, pos - row_number() OVER (PARTITION BY p_partkey, sym ORDER BY pos) AS g FROM ch),"
+    " r AS (SELECT p_partkey, min(pos)::BIGINT AS start, sym, count(*) AS length FROM i GROUP BY p_partkey, sym, g)"
+)
+
+
+@query(f"{_RUNS} SELECT * FROM r")
+def rle1_runs(spark, d):
+    return R.runs(_table(spark, d, "part"), "p_partkey", "p_name")
+
+
+@query(f"{_RUNS} SELECT p_partkey, string_agg(CASE WHEN length >= 4 THEN repeat(sym, 4) || '<' || (length - 4) || '>' ELSE repeat(sym, length) END, '' ORDER BY start) AS encoded FROM r GROUP BY 1")
+def rle1_encode(spark, d):
+    return R.rle1(R.runs(_table(spark, d, "part"), "p_partkey", "p_name"), "p_partkey")
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, p_name AS t, unnest(range(length(p_name))) AS i FROM part), r AS (SELECT p_partkey, i, substr(t, i + 1) || substr(t, 1, i) AS r FROM s),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY r, i) - 1 AS row FROM r)"
+    " SELECT p_partkey, string_agg(right(r, 1), '' ORDER BY row) AS last_column, min(CASE WHEN i = 0 THEN row END)::INTEGER AS origin FROM k GROUP BY 1"
+)
+def bwt_part_names(spark, d):
+    return R.bwt(_table(spark, d, "part"), "p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name AS content FROM part")
+def inverse_bwt(spark, d):
+    return R.inverse_bwt(R.bwt(_table(spark, d, "part"), "p_partkey", "p_name"), "p_partkey")
+
+
+_MTF = (
+    f"WITH {_CHARS}, p AS (SELECT *, lag(pos) OVER (PARTITION BY p_partkey, sym ORDER BY pos) AS prev FROM ch),"
+    " m AS (SELECT p.p_partkey, p.pos, p.sym, CASE WHEN p.prev IS NOT NULL"
+    " THEN (SELECT count(DISTINCT x.sym) FROM ch x WHERE x.p_partkey = p.p_partkey AND x.pos > p.prev AND x.pos < p.pos)"
+    " ELSE (SELECT count(DISTINCT x.sym) FROM ch x WHERE x.p_partkey = p.p_partkey AND (x.pos < p.pos OR (x.sym < p.sym"
+    " AND NOT EXISTS (SELECT 1 FROM ch y WHERE y.p_partkey = p.p_partkey AND y.sym = x.sym AND y.pos < p.pos)))) END AS rank FROM p)"
+)
+
+
+@query(f"{_MTF} SELECT p_partkey, pos::INTEGER AS pos, sym, rank FROM m")
+def mtf_ranks(spark, d):
+    return R.mtf(_table(spark, d, "part"), "p_partkey", "p_name")
+
+
+@query(
+    f"{_MTF}, g AS (SELECT *, sum(CASE WHEN rank = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY pos) AS g FROM m),"
+    " z AS (SELECT p_partkey, g, max(CASE WHEN rank > 0 THEN rank END) AS r, count(*) FILTER (rank = 0) AS zeros FROM g GROUP BY 1, 2),"
+    " s AS (SELECT p_partkey, g, concat_ws(' ', (r + 1)::VARCHAR, CASE WHEN zeros > 0 THEN array_to_string(list_transform(range(length(bin(zeros + 1)) - 1),"
+    " lambda k: CASE WHEN ((zeros + 1) >> k) & 1 = 1 THEN 'B' ELSE 'A' END), ' ') END) AS s FROM z)"
+    " SELECT p_partkey, string_agg(s, ' ' ORDER BY g) || ' E' AS symbols FROM s GROUP BY 1"
+)
+def rle2_digits(spark, d):
+    return R.rle2(R.mtf(_table(spark, d, "part"), "p_partkey", "p_name"), "p_partkey")
+
+
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)),"
+    " lambda v, b: list_reduce(list_prepend(xor(v, b * 16777216), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),"
+    " lambda c, k: CASE WHEN c & 2147483648 <> 0 THEN xor((c * 2) & 4294967295, 79764919) ELSE (c * 2) & 4294967295 END)), 4294967295)"
+)
+
+
+@query(f"SELECT c_custkey, {_CRC} AS crc FROM customer")
+def bzip2_crc32_names(spark, d):
+    return _table(spark, d, "customer").select("c_custkey", C.bzip2_crc32("c_name").alias("crc"))
+
+
+@query(f"SELECT c_custkey, {_CRC} AS crc FROM customer")
+def bzip2_crc32_sql(spark, d):
+    named = _table(spark, d, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("b"))
+    return named.select("c_custkey", F.expr(C.crc32_expr("b")).alias("crc"))
+
+
+_FOLD = (
+    "SELECT o_custkey, list_reduce(list_prepend(0::BIGINT, list((o_orderkey * 2654435761) & 4294967295 ORDER BY o_orderkey)),"
+    " lambda s, b: xor(((s * 2) & 4294967295) | (s >> 31), b)) AS combined FROM orders GROUP BY 1"
+)
+
+
+def _order_crcs(spark, d):
+    return _table(spark, d, "orders").select("o_custkey", "o_orderkey", F.expr("(o_orderkey * 2654435761L) & 4294967295L").alias("crc"))
+
+
+@query(_FOLD)
+def crc_fold_per_customer(spark, d):
+    return A.crc_fold(_order_crcs(spark, d), ["o_custkey"], "o_orderkey")
+
+
+@query(_FOLD)
+def crc_fold_xor(spark, d):
+    return A.crc_fold_xor(_order_crcs(spark, d), ["o_custkey"], "o_orderkey")
+
+
+def _lengths(spark, d):
+    return _table(spark, d, "part").select("p_size", F.col("p_partkey").alias("sym"), F.expr("cast(5 + p_partkey % 16 as int)").alias("len"))
+
+
+@query("SELECT p_size, sum(pow(2, -(5 + p_partkey % 16))) AS kraft, sum(pow(2, -(5 + p_partkey % 16))) = 1 AS complete, sum(pow(2, -(5 + p_partkey % 16))) > 1 AS oversubscribed FROM part GROUP BY 1")
+def kraft_sums(spark, d):
+    return R.kraft(_lengths(spark, d), "p_size")
+
+
+@query(
+    "SELECT p_size, sym, len, (coalesce(sum(1 << (20 - len)) OVER (PARTITION BY p_size ORDER BY len, sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (20 - len)) AS code"
+    " FROM (SELECT p_size, p_partkey AS sym, (5 + p_partkey % 16)::INTEGER AS len FROM part)"
+)
+def canonical_codes(spark, d):
+    return R.canonical_codes(_lengths(spark, d), "p_size")
+
+
+@query(
+    f"WITH {_CHARS}, t AS (SELECT chr(c::INTEGER) AS sym, tab::INTEGER AS tab, ((1 + (c * (tab + 1)) % 20))::BIGINT AS len FROM range(32, 127) a(c), range(3) b(tab)),"
+    " c AS (SELECT p_partkey, pos // 5 AS grp, tab, sum(len)::BIGINT AS cost FROM ch JOIN t USING (sym) GROUP BY ALL)"
+    " SELECT p_partkey, grp::BIGINT AS grp, tab, cost FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey, grp ORDER BY cost, tab) = 1"
+)
+def group_costs(spark, d):
+    tables = spark.range(32, 127).crossJoin(spark.range(3).withColumnRenamed("id", "tab"))  # 285 rows whatever the input
+    tables = tables.selectExpr("char(id) as sym", "cast(tab as int) as tab", "1 + (id * (tab + 1)) % 20 as len")
+    return R.group_costs(R.positions(_table(spark, d, "part"), "p_partkey", "p_name"), "p_partkey", tables, 5)
+
+
+@query("SELECT o_orderkey, CASE WHEN n >= 2400 THEN 6 WHEN n >= 1200 THEN 5 WHEN n >= 600 THEN 4 WHEN n >= 200 THEN 3 ELSE 2 END AS tables FROM (SELECT o_orderkey, o_totalprice / 100 AS n FROM orders)")
+def table_count_choice(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", F.expr(R.table_count("(o_totalprice / 100)")).alias("tables"))
+
+
+@query("SELECT c_custkey, k::INTEGER AS seq, substr(c_name, k * 5 + 1, 5) AS chunk FROM (SELECT c_custkey, c_name, unnest(range((length(c_name) + 4) // 5)) AS k FROM customer)")
+def chunk_split(spark, d):
+    return R.chunked(_table(spark, d, "customer"), "c_custkey", "c_name", 5)
+
+
+@query("SELECT c_custkey, c_name AS content FROM customer WHERE length(c_name) > 0")
+def chunk_reassemble(spark, d):
+    pieces = R.chunked(_table(spark, d, "customer"), "c_custkey", "c_name", 5).withColumn("bytes", F.col("chunk").cast("binary"))
+    return A.assemble(pieces, "c_custkey").select("c_custkey", F.col("content").cast("string").alias("content"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER w AS total_out, sum(l_quantity) OVER w > 100 AS over_limit FROM lineitem"
+    " WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)"
+)
+def output_limit_flags(spark, d):
+    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    out = A.output_limit(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], 100, "l_quantity")
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "total_out", "over_limit")
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def member_concat(spark, d):
+    turns = _table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", C.bz2_compress("text", 1).alias("content"))
+    whole = A.concatenate(turns, "conv_id", "turn")
+    return whole.select("conv_id", C.bz2_decompress("content").cast("string").alias("text"))
+
+
+SAMPLE = "QlpoOTFBWSZTWeopNX0AAAJTgAAQQAAEACJgDAAgADEGTEEBkeoEPEnfEAvF3JFOFCQ6ik1fQA=="  # fixed value: 55 bytes, "This is a test\n"
+
+
+def bad_archives() -> list[tuple[str, bytes, dict, str | None]]:
+    """(name, content, options, expected code) made from the sample."""
+    good = base64.b64decode(SAMPLE)
+    flip = lambda byte, mask: good[:byte] + bytes([good[byte] ^ mask]) + good[byte + 1 :]
+    return [
+        ("good", good, {}, None), ("magic", flip(0, 1), {}, "INVALID_MAGIC"), ("level", flip(3, 0x80), {}, "INVALID_BLOCK_SIZE"),
+        ("block_crc", flip(10, 1), {}, "BLOCK_CRC_MISMATCH"), ("stream_crc", flip(52, 1), {}, "STREAM_CRC_MISMATCH"), ("marker", flip(4, 1), {}, "INVALID_BLOCK_HEADER"),
+        ("pointer", flip(14, 0x40), {}, "INVALID_BWT_POINTER"), ("short", good[:-1], {}, "UNEXPECTED_EOF"), ("padding", flip(54, 1), {}, "INVALID_PADDING"),
+        ("trailing", good + b"\1\2", {}, "TRAILING_DATA"), ("trailing_ignored", good + b"\1\2", {"trailing_data": "ignore"}, None),
+        ("two_members", good * 2, {}, None), ("one_only", good * 2, {"concatenated": False}, "TRAILING_DATA"),
+        ("limit", good, {"max_output_bytes": 14}, "OUTPUT_LIMIT_EXCEEDED"), ("limit_fits", good, {"max_output_bytes": 15}, None),
+        ("later_level", good + b"BZh0xxxx", {"trailing_data": "ignore"}, "INVALID_BLOCK_SIZE"), ("later_block", good + flip(10, 1), {}, "BLOCK_CRC_MISMATCH"), ("empty", b"", {}, "UNEXPECTED_EOF"),
+    ]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {repr(c) if c else 'NULL'})" for n, _, _, c in bad_archives()) + ") t(name, code)")
+def error_codes_fixture(spark, d):
+    out = None
+    groups: dict[str, list] = {}
+    for name, content, options, _ in bad_archives():
+        groups.setdefault(repr(sorted(options.items())), []).append((name, bytearray(content), options))
+    for rows in groups.values():
+        df = spark.createDataFrame([(n, c) for n, c, _ in rows], "name string, content binary")
+        part = A.validate(df, **rows[0][2]).select("name", F.col("error.code").alias("code"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS median_price, list_sort(list(l_extendedprice))[(count(*) // 2 + 1)::BIGINT] AS upper_median FROM lineitem GROUP BY 1")
+def trial_medians(spark, d):
+    return _table(spark, d, "lineitem").groupBy("l_returnflag").agg(S.median("l_extendedprice").alias("median_price"), S.upper_median("l_extendedprice").alias("upper_median"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1")
+def trial_percentiles(spark, d):
+    out = _table(spark, d, "orders").groupBy("o_orderpriority").agg(*S.percentiles("o_totalprice"))
+    return out.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("p50", "p90", "p99")])
+
+
+@query(
+    "SELECT l_linestatus, median(l_quantity) AS median_ms, min(l_quantity) AS min_ms, max(l_quantity) AS max_ms, round(sum(l_linenumber) / sum(l_quantity) / 1000, 9) AS total_mb_s,"
+    " round(avg(l_linenumber / l_quantity / 1000), 9) AS mean_mb_s, round(100 * sum(l_suppkey) / sum(l_linenumber), 6) AS ratio FROM lineitem GROUP BY 1"
+)
+def trial_summary(spark, d):
+    out = S.summary(_table(spark, d, "lineitem"), ["l_linestatus"], "l_linenumber", "l_quantity", "l_suppkey")
+    return out.withColumns({"total_mb_s": F.round("total_mb_s", 9), "mean_mb_s": F.round("mean_mb_s", 9), "ratio": F.round("ratio", 6)})
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_returnflag) = 1 AS same_l_returnflag, count(DISTINCT l_linestatus) = 1 AS same_l_linestatus FROM lineitem GROUP BY 1")
+def trial_consistency(spark, d):
+    return S.consistent(_table(spark, d, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT n_name AS cpu, n_nationkey AS score FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT lower(n_name), n_nationkey + 100 FROM nation WHERE n_nationkey % 3 = 0")
+def report_upsert(spark, d):
+    nation = _table(spark, d, "nation")
+    report = nation.select(F.col("n_name").alias("cpu"), F.col("n_nationkey").alias("score"))
+    new = nation.where("n_nationkey % 3 = 0").select(F.lower("n_name").alias("cpu"), (F.col("n_nationkey") + 100).cast("int").alias("score"))
+    return S.upsert(report, new, "cpu")
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY 1")
+def csv_bz2_scan_lineitem(spark, d):
+    """Written by Spark's own codec and scanned again by its splittable reader."""
+    path = _scratch(spark, "lineitem.csv")
+    rows = _table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_linenumber")
+    rows.write.option("compression", "bzip2").csv(path)
+    back = spark.read.schema("l_returnflag string, l_quantity double, l_linenumber bigint").csv(path)
+    return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("SELECT c_mktsegment, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer GROUP BY 1")
+def archive_sink_and_scan(spark, d):
+    """Archives written as files, read whole and checked, decoded."""
+    path = _scratch(spark, "segments")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), ",")
+    raw = _table(spark, d, "customer").groupBy("c_mktsegment").agg(listed.alias("content"))
+    A.encode(raw.select(F.col("c_mktsegment").alias("path"), F.concat("c_mktsegment", F.lit("|"), "content").alias("content")), level=2).write.parquet(path)
+    good = A.validate(spark.read.parquet(path), "DROPMALFORMED")
+    text = A.assemble(A.decode(good)).select(F.col("content").cast("string").alias("t"))
+    return text.select(F.substring_index("t", "|", 1).alias("c_mktsegment"), F.expr("substring(t, instr(t, '|') + 1)").alias("names"))
+
+
+@query("SELECT user_id, string_agg(event_type, '' ORDER BY event_id) AS text FROM events GROUP BY 1")
+def stream_decode_events(spark, d):
+    """Each user's archive arrives in chunks of 37 bytes through a stream and is decoded by its state."""
+    path, name = _scratch(spark, "chunks"), f"decoded_{uuid.uuid4().hex}"
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), "")
+    coded = _table(spark, d, "events").groupBy("user_id").agg(listed.alias("t")).select("user_id", C.bz2_compress("t", 1).alias("content"))
+    own = Window.partitionBy("stream_id")
+    cut = coded.select(F.col("user_id").cast("string").alias("stream_id"), F.posexplode(F.expr(C.chunk_expr("content", 37))).alias("seq", "bytes"))
+    cut.select("stream_id", F.col("seq").cast("bigint").alias("seq"), "bytes", (F.col("seq") == F.max("seq").over(own)).alias("is_last")).write.parquet(path)
+    rows = spark.readStream.schema("stream_id string, seq bigint, bytes binary, is_last boolean").parquet(path)
+    out = _scratch(spark, name)
+    run = stream.decode(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    whole = A.assemble(spark.read.parquet(f"{out}/rows").where("error is null"), "stream_id")
+    return whole.select(F.col("stream_id").cast("bigint").alias("user_id"), F.col("content").cast("string").alias("text"))
