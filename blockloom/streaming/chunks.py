@@ -70,7 +70,8 @@ class StreamDecoder:
 
     def _step(self, out: list[bytes], last: bool) -> bool:
         if self.state == "header":
-            if len(self.buffer) < 4 and not last and (self.buffer[:3] == K.MAGIC[: len(self.buffer)] and self.o.concatenated or not self.buffer):
+            more = self.buffer[:3] == K.MAGIC[: len(self.buffer)] and (self.o.concatenated or not self.member)
+            if len(self.buffer) < 4 and not last and (more or not self.buffer):
                 return False
             level = strict._header(self.buffer, 0, self.member, self.o)
             if level is None:
