@@ -35,9 +35,9 @@ class Block:
     """Words and windows of the documents of one block, in the order of their ids."""
 
     def __init__(self, rows: pa.Table, size: int) -> None:
-        ids = rows.column("doc_id").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0)
-        missing = rows.column("doc_id").is_null().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool)
-        self.ids = np.where(missing, _LAST, np.nan_to_num(ids, nan=0)).astype(np.int64) if rows.column("doc_id").null_count else ids.astype(np.int64)
+        column = rows.column("doc_id")
+        missing = column.is_null().to_numpy()
+        self.ids = column.fill_null(_LAST).to_numpy()
         texts = rows.column("text").combine_chunks()
         order = np.argsort(self.ids, kind="stable")
         tied = np.flatnonzero(self.ids[order][1:] == self.ids[order][:-1])
