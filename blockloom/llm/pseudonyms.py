@@ -27,7 +27,7 @@ CANDIDATES = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w(+.-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])",
     "world": r"(?<![\w+])\+[2-9]\d?(?:[ .-]?\d){7,12}+(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}+(?![\w-]|\.\d)",
+    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
 }
 NUMBER = "|".join(f"(?:{p})" for p in CANDIDATES.values()).replace(r"\1", r"[./]")
 

