@@ -8,7 +8,7 @@ which mends false markers and names defects.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,8 +21,29 @@ from blockloom.functions.columns import bz2_validate, combine_expr
 from blockloom.options import DecodeOptions, EncodeOptions, parse_concurrency
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of about `most` bytes of binary values."""
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes)) + 64
+        if size >= most:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(key, content) of the rows, content empty where it is null."""
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            yield name.as_py(), content.as_py() or b""
 
 
 def members(archives: DataFrame, key: str = "path") -> DataFrame:
@@ -37,10 +58,7 @@ def markers(archives: DataFrame, key: str = "path") -> DataFrame:
     schema = pa.schema([("key", pa.string()), ("bit", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if content.is_valid:
-                    yield _rows([(name, bit, kind) for bit, kind in K.markers(content.as_py())], schema)
+        yield from _batches(((name, bit, kind) for name, content in _pairs(batches) for bit, kind in K.markers(content)), schema)
 
     return archives.select(F.col(key).cast("string").alias("key"), "content").mapInArrow(run, "key string, bit bigint, kind string").withColumnRenamed("key", key)
 
@@ -56,16 +74,15 @@ def blocks(archives: DataFrame, key: str = "path") -> DataFrame:
     block, level, start_bit, end_bit, crc, raw_len, error_code). Member ends have block null."""
     schema = pa.schema([("key", pa.string()), ("member", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("start_bit", pa.int64()), ("end_bit", pa.int64()), ("crc", pa.int64()), ("raw_len", pa.int64()), ("error_code", pa.string())])
 
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for b in strict.blocks(content):
+                yield name, b["member"], b["block"], b["level"], b["start_bit"], b["end_bit"], b["crc"], len(b["out"]), None
+        except BlockError as e:
+            yield name, e.member, e.block, None, e.bit, None, e.expected, None, e.code
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                try:
-                    for b in strict.blocks(content or b""):
-                        rows.append((name, b["member"], b["block"], b["level"], b["start_bit"], b["end_bit"], b["crc"], len(b["out"]), None))
-                except BlockError as e:
-                    rows.append((name, e.member, e.block, None, e.bit, None, e.expected, None, e.code))
-                yield _rows(rows, schema)
+        yield from _batches((row for pair in _pairs(batches) for row in rows(*pair)), schema)
 
     ddl = "key string, member int, block int, level int, start_bit bigint, end_bit bigint, crc bigint, raw_len bigint, error_code string"
     return archives.select(F.col(key).cast("string").alias("key"), "content").mapInArrow(run, ddl).withColumnRenamed("key", key)
@@ -132,16 +149,17 @@ def decode(archives: DataFrame, key: str = "path", fake_markers: DataFrame | Non
     if n == 1 or o.max_output_bytes is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for row in _sequential(name, content or b"", o):
-                        yield _rows([row], _DECODED)
+            yield from _batches((row for pair in _pairs(batches) for row in _sequential(*pair, o)), _DECODED)
 
         return source.mapInArrow(run, f"key string, seq bigint, bytes binary, error {ERROR_TYPE}").withColumnRenamed("key", key)
     return _parallel(source, o, n, fake_markers).withColumnRenamed("key", key)
 
 
-def _parallel(source: DataFrame, o: DecodeOptions, n: int, fake: DataFrame | None) -> DataFrame:
+WHOLE = 256 << 10  # bytes; smaller archives are read by one task each
+
+
+def _parallel(every: DataFrame, o: DecodeOptions, n: int, fake: DataFrame | None) -> DataFrame:
+    source = every.where(f"length(content) >= {WHOLE}")
     found = markers(source, "key")
     if fake is not None:
         found = found.union(fake.select("key", "bit", "kind")).distinct()
@@ -149,51 +167,52 @@ def _parallel(source: DataFrame, o: DecodeOptions, n: int, fake: DataFrame | Non
     # a segment's own bytes, from the byte of its marker to a byte past its end
     bytes_ = F.expr("substring(content, cast(bit div 8 + 1 as int), cast(coalesce(end_bit, bit + 80) div 8 - bit div 8 + 1 as int))")
     level = F.expr("cast(conv(hex(substring(content, 4, 1)), 16, 10) as int) - 48")
-    parts = cutout.select("key", "bit", "kind", "end_bit", level.alias("level"), bytes_.alias("part"))
-    tested = parts.repartition(n, "key", "bit").mapInArrow(_try_segments, "key string, bit bigint, end_bit bigint, kind string, crc bigint, out binary, good boolean")
-    own = Window.partitionBy("key").orderBy("bit")
-    ordered = tested.withColumn("block", F.row_number().over(own) - 1)
-    whole = ordered.groupBy("key").agg(
-        F.min("good").alias("good"), F.expr("sum(if(kind = 'end', 1, 0))").alias("ends"), F.min("bit").alias("first"), F.max("bit").alias("last"),
-        F.expr("transform(array_sort(collect_list(struct(bit, kind, crc))), x -> x)").alias("c"),
-    )
-    folded = F.expr(f"aggregate(filter(c, x -> x.kind = 'block'), 0L, (s, b) -> {combine_expr('s', 'b.crc')})")
-    ok = whole.withColumn("fold", folded).where("good and ends = 1 and first = 32 and element_at(c, -1).kind = 'end' and element_at(c, -1).crc = fold")
-    ok = ok.join(source, "key").where(F.expr("length(content) = (last + 80 + 7) div 8 and substring(content, 1, 3) = unhex('425A68')"))
-    # one regular member: done. Everything else (more members, false markers, defects) is read in sequence
-    fine = ok.where(F.expr("(cast(conv(hex(substring(content, length(content), 1)), 16, 10) as int) & (shiftleft(1, cast(pmod(-(last + 80), 8) as int)) - 1)) = 0")).select("key")
+    whole = [F.expr("length(content)").cast("bigint").alias("n_bytes"), F.expr("substring(content, 1, 3) = unhex('425A68')").alias("headed"), F.expr("cast(conv(hex(substring(content, length(content), 1)), 16, 10) as int)").alias("last_byte")]
+    parts = cutout.select("key", "bit", "kind", "end_bit", level.alias("level"), bytes_.alias("part"), *whole)
+    tested = parts.repartition(n, "key", "bit").mapInArrow(_try_segments, "key string, bit bigint, kind string, crc bigint, out binary, good boolean, n_bytes bigint, headed boolean, last_byte int")
+    own = Window.partitionBy("key")
+    ordered = tested.withColumn("block", F.row_number().over(own.orderBy("bit"))).withColumn("n", F.count(F.lit(1)).over(own))
+    # the stream checksum: each block's turned left by the number of blocks behind it
+    ordered = ordered.withColumn("_t", ((F.col("n") - 1 - F.col("block")) % 32).cast("int"))
+    turned = F.expr("if(kind = 'block', (shiftleft(crc, _t) & 4294967295) | shiftright(crc, 32 - _t), 0L)")
+    ordered = ordered.withColumn("fold", F.bit_xor(turned).over(own)).withColumn("end", F.max("bit").over(own))
+    # one regular member is done; more members, false markers and defects are read in sequence
+    fine = F.expr(
+        "min(good) over (partition by key) and sum(if(kind = 'end', 1, 0)) over (partition by key) = 1 and min(bit) over (partition by key) = 32"
+        " and max(if(bit = end and kind = 'end' and crc = fold, 1, 0)) over (partition by key) = 1 and headed and n_bytes = (end + 87) div 8"
+        " and (last_byte & (shiftleft(1, cast(pmod(-(end + 80), 8) as int)) - 1)) = 0"
+    )
+    ordered = ordered.withColumn("fine", fine)
     size = o.output_chunk_size
-    pieces = ordered.where("kind = 'block'").join(fine, "key").withColumn("_p", F.expr(f"transform(sequence(0, greatest(0, (length(out) - 1) div {size})), i -> substring(out, cast(i * {size} + 1 as int), {size}))"))
-    fast = pieces.select("key", "block", F.posexplode("_p").alias("i", "bytes")).withColumn("seq", F.row_number().over(Window.partitionBy("key").orderBy("block", "i")).cast("bigint") - 1)
+    pieces = ordered.where("fine and kind = 'block'").withColumn("_p", F.expr(f"transform(sequence(0, greatest(0, (length(out) - 1) div {size})), i -> substring(out, cast(i * {size} + 1 as int), {size}))"))
+    fast = pieces.select("key", "block", F.posexplode("_p").alias("i", "bytes")).withColumn("seq", F.row_number().over(own.orderBy("block", "i")).cast("bigint") - 1)
     fast = fast.select("key", "seq", "bytes", F.lit(None).cast(ERROR_TYPE).alias("error"))
-    rest = source.join(fine, "key", "left_anti")
+    rest = source.join(ordered.where("fine and kind = 'end'").select("key"), "key", "left_anti")
+    rest = rest.union(every.where(f"content is null or length(content) < {WHOLE}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in _sequential(name, content or b"", o):
-                    yield _rows([row], _DECODED)
+        yield from _batches((row for pair in _pairs(batches) for row in _sequential(*pair, o)), _DECODED)
 
     return fast.union(rest.mapInArrow(run, f"key string, seq bigint, bytes binary, error {ERROR_TYPE}"))
 
 
-_TESTED = pa.schema([("key", pa.string()), ("bit", pa.int64()), ("end_bit", pa.int64()), ("kind", pa.string()), ("crc", pa.int64()), ("out", pa.binary()), ("good", pa.bool_())])
+_TESTED = pa.schema([("key", pa.string()), ("bit", pa.int64()), ("kind", pa.string()), ("crc", pa.int64()), ("out", pa.binary()), ("good", pa.bool_()), ("n_bytes", pa.int64()), ("headed", pa.bool_()), ("last_byte", pa.int32())])
 
 
 def _try_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            shift, part, out, crc = r["bit"] % 8, r["part"] or b"", None, None
-            if 8 * len(part) >= shift + 80:
-                crc = K.bits(part, shift + 48, 32)
-            if r["kind"] == "block" and r["end_bit"] is not None and 1 <= (r["level"] or 0) <= 9:
-                end = r["end_bit"] - r["bit"] + shift
-                if end - shift <= 8 * K.bound(r["level"]):
-                    out = K.decode_block(part, shift, end, r["level"])
-                    if out is not None and not strict.tables_fit(part, shift):
-                        out = None
-            good = out is not None or r["kind"] == "end" and crc is not None
-            yield _rows([(r["key"], r["bit"], r["end_bit"], r["kind"], crc, out, good)], _TESTED)
+    def tried(r: dict) -> tuple:
+        shift, part, out, crc = r["bit"] % 8, r["part"] or b"", None, None
+        if 8 * len(part) >= shift + 80:
+            crc = K.bits(part, shift + 48, 32)
+        if r["kind"] == "block" and r["end_bit"] is not None and 1 <= (r["level"] or 0) <= 9:
+            end = r["end_bit"] - r["bit"] + shift
+            if end - shift <= 8 * K.bound(r["level"]):
+                out = K.decode_block(part, shift, end, r["level"])
+                if out is not None and not strict.tables_fit(part, shift):
+                    out = None
+        return r["key"], r["bit"], r["kind"], crc, out, out is not None or r["kind"] == "end" and crc is not None, r["n_bytes"], r["headed"], r["last_byte"]
+
+    yield from _batches((tried(r) for batch in batches for r in batch.to_pylist()), _TESTED)
 
 
 def assemble(chunks: DataFrame, key: str = "path", seq: str = "seq", data: str = "bytes") -> DataFrame:
@@ -203,14 +222,16 @@ def assemble(chunks: DataFrame, key: str = "path", seq: str = "seq", data: str =
 
 
 def encode(raw: DataFrame, key: str = "path", level: int = 9, concurrency: int | str = "auto") -> DataFrame:
-    """(key, content): each value as an archive. Slices of fixed size are encoded in parallel and stitched
-    per key, so the bytes don't depend on the number of tasks."""
+    """(key, content): each value as an archive. Values of more than one slice are cut into slices of
+    fixed size, which are encoded in parallel and stitched per key, so the bytes don't depend on the
+    number of tasks. Keys are distinct; null values are left out."""
     EncodeOptions(block_size=level, concurrency=concurrency)
     n = parse_concurrency(concurrency, raw.sparkSession.sparkContext.defaultParallelism)
     size = K.slice_size(level)
     source = raw.select(F.col(key).cast("string").alias("key"), F.col("content").cast("binary").alias("content"))
     cut = F.expr(f"transform(sequence(0, greatest(0, (length(content) - 1) div {size})), i -> substring(content, cast(i * {size} + 1 as int), {size}))")
-    slices = source.where("content is not null").select("key", F.posexplode(cut).alias("seq", "part")).repartition(n, "key", "seq")
+    single = source.where(f"length(content) <= {size}").mapInArrow(_encode_whole(level), "key string, content binary")
+    slices = source.where(f"length(content) > {size}").select("key", F.posexplode(cut).alias("seq", "part")).repartition(n, "key", "seq")
     coded = slices.mapInArrow(_encode_slices(level), "key string, seq bigint, body binary, n_bits bigint, crc bigint")
 
     def join(table: pa.Table) -> pa.Table:
@@ -218,17 +239,26 @@ def encode(raw: DataFrame, key: str = "path", level: int = 9, concurrency: int |
         whole = K.stitch(((r["body"], r["n_bits"], r["crc"]) for r in rows if r["n_bits"]), level)
         return pa.table({"key": [rows[0]["key"]], "content": pa.array([whole], pa.binary())})
 
-    return coded.groupBy("key").applyInArrow(join, "key string, content binary").withColumnRenamed("key", key)
+    return single.union(coded.groupBy("key").applyInArrow(join, "key string, content binary")).withColumnRenamed("key", key)
+
+
+def _encode_whole(level: int):
+    schema = pa.schema([("key", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(((name, K.compress(content, level)) for name, content in _pairs(batches)), schema)
+
+    return run
 
 
 def _encode_slices(level: int):
     schema = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("body", pa.binary()), ("n_bits", pa.int64()), ("crc", pa.int64())])
 
+    def coded(r: dict) -> tuple:
+        return (r["key"], r["seq"], *(K.encode_block(r["part"], level) if r["part"] else (b"", 0, 0)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                body, count, crc = K.encode_block(r["part"], level) if r["part"] else (b"", 0, 0)
-                yield _rows([(r["key"], r["seq"], body, count, crc)], schema)
+        yield from _batches((coded(r) for batch in batches for r in batch.to_pylist()), schema)
 
     return run
 

@@ -75,7 +75,9 @@ def roundtrip_embeddings(spark, d):
 def parallel_encode_decode(spark, d):
     """Slices encoded and segments decoded in parallel, pieces put together again."""
     raw = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
-    archives = A.encode(raw, level=1)
+    path = _scratch(spark, "archives")  # the decoder reads them several times
+    A.encode(raw, level=1).write.parquet(path)
+    archives = spark.read.parquet(path)
     whole = A.assemble(A.decode(archives, concurrency="auto"))
     return whole.select(F.col("path").cast("bigint").alias("doc_id"), F.col("content").cast("string").alias("text"))
 
