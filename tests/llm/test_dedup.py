@@ -219,8 +219,11 @@ def test_fuzzy_lines(spark, docs):
     assert len(out) == len(rows)
     norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
     distinct = sorted({norm(x) for _, t in rows for x in (t or "").split("\n")} - {""})
-    table = spark.createDataFrame([(x,) for x in distinct], "norm string")
-    keys = {r.norm: set(r.k) for r in table.selectExpr("norm", f"{L._simhash('split(norm, \" \")')} as sim").selectExpr("norm", f"array({L._keys()}) as k").collect()}
+    table = spark.createDataFrame(list(enumerate(distinct)), "line bigint, norm string")
+    sims = {distinct[r.line]: r.sim & (2**64 - 1) for r in L._simhashes(table).collect()}
+    for line, r in ((distinct[r.line], r) for r in L._simhashes(table).collect()):
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in line.split(" ")]
+        assert r.sim & (2**64 - 1) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
     parent = {x: x for x in distinct}
 
     def find(x):
@@ -230,7 +233,7 @@ def test_fuzzy_lines(spark, docs):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if keys[a] & keys[b] and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if (sims[a] ^ sims[b]).bit_count() <= 3 and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
                 parent[find(a)] = find(b)
     per_root = {}
     for r in out:
