@@ -222,7 +222,8 @@ def test_fuzzy_lines(spark, docs):
     table = spark.createDataFrame(list(enumerate(distinct)), "line bigint, norm string")
     sims = {distinct[r.line]: r.sim & (2**64 - 1) for r in L._simhashes(table).collect()}
     for line, r in ((distinct[r.line], r) for r in L._simhashes(table).collect()):
-        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in line.split(" ")]
+        w = [x.encode() for x in line.split(" ")]
+        h = [xxhash.xxh64_intdigest(b, seed=xxhash.xxh64_intdigest(a, seed=42)) for a, b in zip(w, w[1:], strict=False)] + [xxhash.xxh64_intdigest(w[-1], seed=42)]
         assert r.sim & (2**64 - 1) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
     parent = {x: x for x in distinct}
 
