@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", text
         weights = np.zeros(1 << BITS)
         weights[at] = value
         for batch in batches:
-            for part in W.slices(batch, "_text"):
+            for part in W.slices(batch, "_text", 1 << 20):
                 got = score_texts(part.column("_text"), weights, bias)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got)], [*names, "score"])
 
