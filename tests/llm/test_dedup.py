@@ -252,3 +252,24 @@ def test_fuzzy_lines(spark, docs):
     unique = docs([(i, t) for i, t in rows if i is not None and i != 3])
     texts = {r.doc_id: r.text for r in L.without_lines(unique, L.fuzzy_lines(unique)).collect()}
     assert texts[92] == "\n\n" and texts[90] is None
+
+
+def test_fuzzy_lines_recall(docs):
+    """Pairs of short and medium lines that differ in one word: at least 97 % of those whose edit similarity is
+    0.8 or more are met, and no others."""
+    rnd = random.Random(9)
+    pairs = []
+    for k in range(240):
+        w = text(rnd, 3 + k % 24).split()
+        v = list(w)
+        at = rnd.randrange(len(v))
+        v[at] = v[at][:-1] + "q" if k % 2 else "changed"
+        pairs.append((" ".join(w), " ".join(v)))
+    similar = [edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    out = {r.doc_id: r.removed for r in L.fuzzy_lines(docs([(i, "\n".join(p)) for i, p in enumerate(pairs)])).collect()}
+    met = [out[i] == [1] for i in range(len(pairs))]
+    short = [i for i, (a, _) in enumerate(pairs) if similar[i] and a.count(" ") < 10]
+    assert len(short) > 50 and sum(similar) > 180
+    assert not any(m and not s for m, s in zip(met, similar, strict=True))
+    assert sum(m for m, s in zip(met, similar, strict=True) if s) >= 0.97 * sum(similar)
+    assert sum(met[i] for i in short) >= 0.95 * len(short)
