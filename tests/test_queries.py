@@ -43,3 +43,9 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_member_headers_reads_every_part(spark, duck):
+    rows = core.QUERIES["member_headers"](spark, FOLDER).select("p_partkey", "level").collect()
+    assert len(rows) == duck.execute("SELECT count(*) FROM part").fetchone()[0]
+    assert {r.level for r in rows} == set(range(1, 10)) and all(r.level == 1 + r.p_partkey % 9 for r in rows)
