@@ -26,6 +26,7 @@ CANDIDATES = {
     "date": r"(?<![\w./])\d{1,2}([./])\d{1,2}\1(?:19|20)\d\d(?![\w/])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w(+.-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])",
+    "written": r"(?<![\w(+.-])\+1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])",
     "world": r"(?<![\w+])\+[2-9]\d?(?:[ .-]?\d){7,12}+(?!\w)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
 }
@@ -156,6 +157,17 @@ def _phone(x: str, key: str) -> str:
     return let(_digits(x), "pd", _refill(x, new))
 
 
+def _written(x: str, key: str) -> str:
+    """A number written as a phone whose area code or exchange begins with 0 or 1: permuted among the
+    3.6e9 such numbers, so that it never takes the pseudonym of a number of the plan."""
+    area, exchange = "cast(substring(wd, 2, 3) as bigint)", "cast(substring(wd, 5, 3) as bigint)"
+    serial = "cast(right(wd, 4) as bigint)"
+    number = f"if({area} < 200, {area} * 10000000 + {exchange} * 10000, 2000000000L + ({area} - 200) * 2000000 + {exchange} * 10000) + {serial}"
+    text = "if(n < 2000000000L, lpad(n, 10, '0'), concat((n - 2000000000L) div 2000000 + 200, lpad((n - 2000000000L) div 10000 % 200, 3, '0'), lpad(n % 10000, 4, '0')))"
+    new = let(let(number, "pv", feistel("pv", "60000L", "60000L", "written", key)), "n", f"concat('1', {text})")
+    return let(_digits(x), "wd", _refill(x, new))
+
+
 def _world(x: str, key: str) -> str:
     return let(_digits(x), "wd", _refill(x, f"substring(wd, 1, 2) || {_permuted_digits('substring(wd, 3)', 'world', key)}"))
 
@@ -176,7 +188,7 @@ def _email(x: str, key: str) -> str:
 
 def pseudonym(x: str, key: str = KEY) -> str:
     """SQL expression for the pseudonym of one candidate `x`; an invalid candidate stays as it is."""
-    rule = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "world": _world, "card": _card}
+    rule = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "written": _written, "world": _world, "card": _card}
     rule["iso"] = lambda x, k: _dated(x, f"split({x}, '-')", "date_format(n, 'yyyy-MM-dd')", k)
     kind = " ".join(f"when {x} rlike {_literal('^(?:' + p + ')$')} then {rule[k](x, key)}" for k, p in CANDIDATES.items())
     return f"case {kind} else {x} end"

@@ -127,6 +127,18 @@ def test_pseudonyms(spark, docs):
     assert other != new
 
 
+def test_written_phones_outside_the_plan(docs):
+    """+1 (ddd) ddd-dddd is a phone whatever its first digits; different numbers stay different."""
+    numbers = [f"+1 ({a}) {e}-{7000 + k}" for k in range(20) for a, e in (("152", "555"), ("017", "555"), ("499", "055"), ("200", "199"), ("499", "555"))]
+    rows = [(i, f"call {x} now") for i, x in enumerate([*numbers, "152-555-8590"])]
+    out = [r.text for r in sorted(N.pseudonymise(docs(rows)).collect(), key=lambda r: r.doc_id)]
+    assert out.pop() == rows[-1][1]
+    assert all(re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", x) for x in out)
+    assert len(set(out)) == len(out) and not any(a == b for a, (_, b) in zip(out, rows, strict=False))
+    plan = lambda x: x[9] in "23456789" and x[14] in "23456789"
+    assert [plan(x) for x in out] == [plan(f"call {x}") for x in numbers]
+
+
 def test_networks_permute_their_domains(spark):
     for expr, n in ((N._permuted_digits("lpad(id, 3, '0')", "t", "k"), 1000), (N._day("id", "k"), N.DAYS), (N.feistel("id", "7L", "11L", "t", "k"), 77)):
         row = spark.range(n).selectExpr(f"cast({expr} as bigint) as v").agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()
