@@ -79,18 +79,29 @@ class _Reader(DataSourceReader):
             data = f.read(part.end - part.start + K.bound(9) + 6)
         level = level[0] - 48 if level and 49 <= level[0] <= 57 else 9
         found = K.markers(data)
+        inside = 0  # markers before this bit lie in a block that decoded
         for i, (bit, kind) in enumerate(found):
-            if kind != "block" or bit >= 8 * (part.end - part.start):
+            if kind != "block" or bit >= 8 * (part.end - part.start) or bit < inside:
                 continue
+            out, inside_to = None, 0
             for end, _ in found[i + 1 : i + 9]:
                 for lv in dict.fromkeys((level, 9)):
                     out = K.decode_block(data, bit, end, lv)
                     if out is not None and strict.tables_fit(data, bit):
-                        yield part.path, None, None, 8 * part.start + bit, K.bits(data, bit + 48, 32), out
+                        inside_to = end
                         break
-                else:
+                    out = None
+                if out is not None:
+                    break
+            if out is None:  # read bit by bit, which raises with the block's own error
+                try:
+                    out, inside_to = strict._diagnose(data, bit, 9, None, {"member": None, "block": None})
+                except BlockError as e:
+                    if self.mode == "FAILFAST":
+                        raise BlockError(e.code, f"{e.message} in the block at bit {8 * part.start + bit}") from None
                     continue
-                break
+            inside = inside_to
+            yield part.path, None, None, 8 * part.start + bit, K.bits(data, bit + 48, 32), out
 
 
 @dataclass

@@ -91,6 +91,19 @@ def test_source_reads_whole_and_in_ranges(spark, raw, packed, tmp_path):
     assert spark.read.format("bz2strict").option("trailingData", "ignore").load(str(tmp_path / "bad.bz2")).count() == 1
 
 
+def test_ranges_report_a_defective_block(spark, packed, tmp_path):
+    source.register(spark)
+    data = bytearray(packed["big"])
+    blocks = [bit for bit, kind in K.markers(bytes(data)) if kind == "block"]
+    assert len(blocks) > 2
+    data[(blocks[1] + blocks[2]) // 16] ^= 0x5A
+    (tmp_path / "hurt.bz2").write_bytes(data)
+    read = spark.read.format("bz2strict").option("splitBytes", 50_000)
+    with pytest.raises(Exception, match="the block at bit"):
+        read.load(str(tmp_path / "hurt.bz2")).collect()
+    assert read.option("mode", "PERMISSIVE").load(str(tmp_path / "hurt.bz2")).count() == len(blocks) - 1
+
+
 def test_sink(spark, raw, tmp_path):
     source.register(spark)
     rows = frame(spark, {"a": raw["text"]}).selectExpr("path", "cast(null as int) member", "cast(null as int) block", "0L start_bit", "0L crc", "content")
