@@ -3,8 +3,8 @@
 For a valid vocabulary each prefix of a byte string has exactly one encoding, so its last
 token is unique. `PrefixEncoder` stores that token for every prefix of a piece: the last token
 of prefix i is the token t ending at i for which (last token of prefix i - len(t), t) is a pair
-that BPE itself would leave apart. Appending bytes only adds entries, and an edit only renews
-the entries behind it. Pieces (the matches of the pre-tokenising pattern) are encoded once and
+that BPE itself would leave apart. Appending bytes only adds entries, and an edit renews entries
+only until they meet the old ones again. Pieces (the matches of the pre-tokenising pattern) are encoded once and
 kept in a bounded cache.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,27 +77,36 @@ class PrefixEncoder:
         self.v = vocabulary
         self.data = b""
         self.last: list[int] = []
+        self.renewed = 0  # entries computed so far
         self.append(data)
 
+    def _next(self) -> int:
+        """The entry behind the last one; it depends on the `longest` entries and bytes before it alone."""
+        v, last, data = self.v, self.last, self.data
+        end = len(last) + 1
+        for begin in range(max(0, end - v.longest), end):
+            token = v.ranks.get(data[begin:end])
+            if token is not None and v.reachable(token) and (begin == 0 or v.apart(last[begin - 1], token)):
+                self.renewed += 1
+                return token
+        raise ValueError(f"byte {data[end - 1]} has no token")
+
     def append(self, more: bytes) -> None:
-        v, last = self.v, self.last
-        data = self.data = self.data + more
-        ranks, longest = v.ranks.get, v.longest
-        for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks(data[begin:end])
-                if token is not None and v.reachable(token) and (begin == 0 or v.apart(last[begin - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"byte {data[end - 1]} has no token")
+        self.data += more
+        while len(self.last) < len(self.data):
+            self.last.append(self._next())
 
     def edit(self, begin: int, end: int, new: bytes) -> None:
-        """Replace bytes; only the entries from `begin` on are computed again."""
-        tail = self.data[end:]
-        del self.last[begin:]
-        self.data = self.data[:begin]
-        self.append(new + tail)
+        """Replace bytes. Entries from `begin` on are computed again until, behind the new bytes, as many
+        as the longest token has bytes are the old ones; from there on all are."""
+        old, moved, settled, same = self.last, len(new) - (end - begin), begin + len(new), 0
+        self.last = old[:begin]
+        self.data = self.data[:begin] + new + self.data[end:]
+        while len(self.last) < len(self.data) and same < self.v.longest:
+            i, token = len(self.last), self._next()
+            self.last.append(token)
+            same = same + 1 if i >= settled and old[i - moved] == token else 0
+        self.last += old[len(self.last) - moved :] if len(self.last) < len(self.data) else []
 
     def ids(self, length: int | None = None) -> list[int]:
         """Encoding of the first `length` bytes (all, if not given)."""
@@ -109,6 +119,7 @@ class PrefixEncoder:
 
 
 LONG = 40  # bytes; longer pieces are encoded one at a time
+LETTERS = [chr(c) for c in range(33, 0x250) if chr(c).isalpha()]  # those that pieces are mostly made of
 
 
 class Encoder:
@@ -120,51 +131,73 @@ class Encoder:
         self.v = Vocabulary(load_ranks(path))
         self.many = Prefixes(self.v.ranks, MOST_PAIRS)
         self.pattern = regex.compile(pattern)
+        most = max(self.v.tokens) + 1
+        self.texts = pa.array([self.v.tokens.get(i, b"") for i in range(most)], pa.binary())
+        self.numbers = pa.array([b"%d" % i for i in range(most)], pa.binary())
+        # whether the pattern keeps a run of letters whole, with the space before it, and cuts a mark off its end
+        self.plain = all(self.pattern.findall(f" a{x}") == [f" a{x}"] and self.pattern.findall(f" {x}a") == [f" {x}a"] for x in LETTERS)
+        self.marks = frozenset(m for m in ".,;:!?" if all(self.pattern.findall(f" a{x}{m}") == [f" a{x}", m] for x in LETTERS))
         self.cache = PieceCache(lambda pieces: self._pieces(pieces, " "), most=300_000)
         self.first = PieceCache(lambda pieces: self._pieces(pieces, ""), most=50_000)
 
-    def words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct matches of the pattern. One that is a token as a whole stays whole."""
-        out: dict[str, list[int]] = {}
+    def _joined(self, ids: np.ndarray, count: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """For runs of ids: the ids in decimal joined by commas, and the bytes that they stand for."""
+        ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+        at = pa.array(ids, pa.int64())
+        join = lambda values, mark: pc.binary_join(pa.ListArray.from_arrays(ends, values.take(at)), mark).to_pylist()
+        return join(self.numbers, b","), join(self.texts, b"")
+
+    def _summaries(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """`summary` of distinct matches of the pattern. A match that is a token as a whole stays whole."""
+        out: dict[str, tuple[bytes, bytes]] = {}
         rest = []
-        for word in words:
+        for word in sorted(words):
             data = word.encode()
             whole = self.v.ranks.get(data)
             if whole is not None:
-                out[word] = [whole]
+                out[word] = self.summary([whole])
             elif len(data) > LONG:
-                out[word] = PrefixEncoder(self.v, data).ids()
+                out[word] = self.summary(PrefixEncoder(self.v, data).ids())
             else:
-                rest.append((len(data), word, data))
-        rest.sort()
-        for lo in range(0, len(rest), 8192):
-            some = rest[lo : lo + 8192]
-            out.update(zip((w for _, w, _ in some), self.many.encode([d for _, _, d in some]), strict=True))
+                rest.append((word, data))
+        for lo in range(0, len(rest), 1 << 15):
+            some, data = zip(*rest[lo : lo + (1 << 15)], strict=True)
+            out.update(zip(some, zip(*self._joined(*self.many.encode(data)), strict=True), strict=True))
         return out
 
-    def encode_plain(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
         found = self.pattern.findall(text)
-        ids = self.words(list(set(found)))
-        return [i for word in found for i in ids[word]]
-
-    def _pieces(self, pieces: list[str], before: str) -> list[tuple[int, bytes, bytes] | bool]:
-        split = [self.pattern.findall(before + p) if p and not p[0].isspace() and not p[-1].isspace() else None for p in pieces]
-        ids = self.words(list({w for ws in split if ws for w in ws}))
-        text = {w: (len(i), b",".join([b"%d" % x for x in i]), self.decode(i)) for w, i in ids.items()}
+        known = self._summaries(list(set(found)))
+        return b",".join([known[w][0] for w in found]), b"".join([known[w][1] for w in found])
+
+    def _matches(self, before: str, p: str) -> tuple[str, ...] | list[str] | None:
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        if self.plain and (p.isascii() or max(p) < "\u0250"):
+            if p.isalpha():
+                return (before + p,)
+            if p[-1] in self.marks and p[:-1].isalpha():
+                return before + p[:-1], p[-1]
+        return self.pattern.findall(before + p)
+
+    def _pieces(self, pieces: list[str], before: str) -> list[tuple[bytes, bytes] | bool]:
+        split = [self._matches(before, p) for p in pieces]
+        words = list({w for ws in split if ws for w in ws})
+        text = self._summaries(words)
         return [
             False if ws is None else text[ws[0]] if len(ws) == 1
-            else (sum(text[w][0] for w in ws), b",".join([text[w][1] for w in ws]), b"".join([text[w][2] for w in ws]))
+            else (b",".join([text[w][0] for w in ws]), b"".join([text[w][1] for w in ws]))
             for ws in split
         ]
 
-    def summary(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal joined by commas, and the bytes they stand for."""
-        return len(ids), b",".join([b"%d" % i for i in ids]), self.decode(ids)
+    def summary(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """The ids in decimal joined by commas, and the bytes they stand for."""
+        return b",".join([b"%d" % i for i in ids]), self.decode(ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, ids))
 
-    def parts(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    def parts(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
         """For each text the summaries of its parts, in order."""
         cuts = [t.split(" ") for t in texts]
         values = self.cache.look_up([p for c in cuts for p in c[1:]])
@@ -174,7 +207,7 @@ class Encoder:
             at += len(cut) - 1
             yield self._irregular(cut, own) if head is False or False in own else [head, *own]
 
-    def _irregular(self, cut: list[str], values: list) -> list[tuple[int, bytes, bytes]]:
+    def _irregular(self, cut: list[str], values: list) -> list[tuple[bytes, bytes]]:
         """Pieces around irregular white space are put together again before they are encoded."""
         out, rest = [], [cut[0]]
         for k, (piece, value) in enumerate(zip(cut[1:], values, strict=True)):
@@ -183,14 +216,14 @@ class Encoder:
                 rest += [" ", piece]
                 continue
             if rest:
-                out.append(self.summary(self.encode_plain("".join(rest))))
+                out.append(self._whole("".join(rest)))
                 rest = []
             if k + 1 < len(values) and values[k + 1] is False:
                 rest = [" ", piece]
             else:
                 out.append(value)
         if rest:
-            out.append(self.summary(self.encode_plain("".join(rest))))
+            out.append(self._whole("".join(rest)))
         return out
 
 
@@ -213,10 +246,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def row(parts: list[tuple[int, bytes, bytes]]) -> tuple:
-        number = sum([p[0] for p in parts])
-        ids = b",".join([p[1] for p in parts if p[0]])
-        decoded = b"".join([p[2] for p in parts])
+    def row(parts: list[tuple[bytes, bytes]]) -> tuple:
+        ids = b",".join([p[0] for p in parts if p[0]])
+        decoded = b"".join([p[1] for p in parts])
+        number = ids.count(b",") + 1 if ids else 0
         if digest:
             return number, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
         return number, np.array(ids.split(b","), np.int32) if number else np.zeros(0, np.int32), decoded

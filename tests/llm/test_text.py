@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from blockloom.llm import bpe_arrays as A
 from blockloom.llm import packing as K
 from blockloom.llm import prefix_bpe as B
 from blockloom.llm import pseudonyms as N
@@ -49,13 +50,54 @@ def test_prefixes_append_and_edit(tik):
         word = "".join(rnd.choice("aehinorstäß1!") for _ in range(rnd.randrange(1, 20))).encode()
         e = B.PrefixEncoder(v, word[:5])
         e.append(word[5:])
-        assert e.ids() == v.merges(word) == many.encode([word])[0]
+        ids, count = many.encode(sorted([word, word[:3], word + b"e"]))
+        assert e.ids() == v.merges(word) and ids.tolist() == [i for w in sorted([word, word[:3], word + b"e"]) for i in v.merges(w)] and count.sum() == len(ids)
         assert all(e.ids(n) == v.merges(word[:n]) for n in range(len(word) + 1))
         lo = rnd.randrange(len(word))
         e.edit(lo, min(len(word), lo + 2), b"re")
         assert e.ids() == v.merges(word[:lo] + b"re" + word[lo + 2 :])
 
 
+def test_an_edit_renews_what_is_near(tik):
+    """In a long piece the entries behind an edit are taken over once they are the old ones again."""
+    v = B.Vocabulary({t: r for t, r in B.load_ranks(BPE).items() if len(t) <= 12})
+    rnd = random.Random(4)
+    word = "".join(rnd.choice("aehinorst") for _ in range(3000)).encode()
+    e = B.PrefixEncoder(v, word)
+    for new in (b"", b"q", b"they", b"x" * 30):
+        before, at = e.renewed, rnd.randrange(100, 2000)
+        word = word[:at] + new + word[at + 2 :]
+        e.edit(at, at + 2, new)
+        assert e.last == B.PrefixEncoder(v, word).last and e.ids() == v.merges(word)
+        assert e.renewed - before < 300
+    e.edit(len(word) - 1, len(word), b"")
+    assert e.ids() == v.merges(word[:-1])
+
+
+def test_tokens_that_stay_apart():
+    """The rule for pairs against carrying out the merges, with pairs cut out of tokens among them."""
+    v = B.Vocabulary(B.load_ranks(BPE))
+    many = B.encoder(BPE, P.PATTERN).many
+    rnd = random.Random(5)
+    alone = np.flatnonzero(many.alone).tolist()
+    pairs = [(rnd.choice(alone), rnd.choice(alone)) for _ in range(1500)]
+    for token in rnd.sample(alone, 500):
+        t = v.tokens[token]
+        pairs += [(v.merges(t[:i])[-1], v.merges(t[i:])[0]) for i in range(1, len(t))]
+    left, right = np.array(pairs).T
+    want = [v.merges(v.tokens[a] + v.tokens[b]) == [a, b] for a, b in pairs]
+    assert many.stay(left, right).tolist() == want and many._apart(left, right).tolist() == want
+
+
+def test_hash_table():
+    rnd = np.random.default_rng(6)
+    keys = np.unique(rnd.integers(0, 2**62, 5000))
+    t = A.Table(keys[:10], np.arange(10))
+    for lo in range(10, len(keys), 700):
+        t.add(keys[lo : lo + 700], np.arange(lo, min(len(keys), lo + 700)))
+    assert (t.get(keys) == np.arange(len(keys))).all() and (t.get(keys + 1)[~np.isin(keys + 1, keys)] == -1).all() and len(t) == len(keys)
+
+
 def test_packing(spark, docs):
     rnd = random.Random(3)
     rows = list(enumerate([*ODD, *mixed(2), *["lorem ipsum, " * rnd.randrange(900) for _ in range(40)], "very long words " * 9000])) + [(5, "again"), (None, "null id")]
