@@ -109,15 +109,19 @@ LONG = 64  # bytes; longer words go to the library
 
 class WordTokenizer:
     """Encodes pieces as the tokenizer file says. Pieces of Latin-1 characters, which the file's
-    normaliser only lower-cases, are encoded side by side; all others go to the library."""
+    normaliser only lower-cases, are encoded side by side; all others, and pieces with the string of an
+    added token, which the library makes that token, go to the library."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(a["content"][:-1].isalpha() or " " in a["content"] for a in added):
+            raise ValueError("added tokens that reach beyond a piece are not supported")
+        self.added = [a["content"] for a in added]  # a piece that holds one goes to the library
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
@@ -155,6 +159,8 @@ class WordTokenizer:
             return (piece.lower(),)
         if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
             return piece[:-1].lower(), piece[-1]
+        if any(a in piece for a in self.added):
+            return None
         return self.pattern.findall(piece.lower())
 
     def __call__(self, pieces: list[str]) -> list[bytes]:

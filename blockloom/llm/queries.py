@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_ball_tree": ball_tree.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_substring_dedup": substring_dedup.ORACLE, "op6_ball_tree": ball_tree.ORACLE}

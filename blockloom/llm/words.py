@@ -118,6 +118,27 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
+def word_names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """64-bit name of each word, one of several kinds with independent constants. The first sixteen
+    bytes of all words are taken in together, eight at a time; the few longer words are hashed by
+    the library. Words of one length of up to eight bytes never share a name."""
+    salt = _letters(1000 + which)[:4] | U(1)
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = np.empty(len(starts), np.uint64)
+    masks = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+    for lo in range(0, len(starts), PIECE // 8):
+        s = starts[lo : lo + PIECE // 8]
+        n = ends[lo : lo + PIECE // 8] - s
+        h = mix((lanes[s] & masks[np.minimum(n, 8)]) * salt[0] + n.astype(np.uint64) * salt[1])
+        more = np.flatnonzero(n > 8)
+        h[more] = mix(h[more] + (lanes[s[more] + 8] & masks[np.minimum(n[more] - 8, 8)]) * salt[2])
+        out[lo : lo + PIECE // 8] = h
+    for i in np.flatnonzero(ends - starts > 16).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 1000 + which)
+    return out
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` word hashes; runs that cross texts are included and are
     for the caller to mask. Empty if there are fewer words."""

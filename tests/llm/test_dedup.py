@@ -158,7 +158,8 @@ def test_links_inside_a_bucket_connect_what_pairs_connect(size):
 
 def repeats_brute(rows, size=20):
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+    mark = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, mark(r[1]))):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for k in range(len(w) - size + 1):
@@ -176,20 +177,45 @@ def test_repeated_passages(docs, block_bytes):
     shared = [text(rnd, 60) for _ in range(3)]
     rows = [(k, text(rnd, rnd.randrange(80)) + " " + rnd.choice([*shared, ""]) + "\n" + text(rnd, 30)) for k in range(60)]
     rows += [(200, shared[0]), (201, shared[0] + " " + shared[0]), (202, "w " * 500), (203, None), (204, ""), (200, shared[0]), (None, shared[1]), (205, "one two")]
+    rows += [(206, shared[2] + f" {k}") for k in range(9)] + [(None, f"{k} " + shared[1]) for k in range(9)]
     out = D.remove_repeats(docs(rows, extra=True), block_bytes=block_bytes, shard_windows=500).collect()
     assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_text)) for r in out) == repeats_brute(rows)
 
 
+def test_words_that_polynomials_confuse(docs):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever its base."""
+    words = ["a"]
+    for _ in range(12):
+        words.append(words[-1] + words[-1].translate(str.maketrans("ab", "ba")))
+    odd = words[-1]
+    rows = [(1, "w " * 19 + odd), (2, "w " * 19 + odd.translate(str.maketrans("ab", "ba"))), (3, "w " * 19 + odd)]
+    out = {r.doc_id: r.n_removed for r in D.remove_repeats(docs(rows)).collect()}
+    assert out == {1: 0, 2: 0, 3: 20}
+
+
+def test_names_of_words():
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    words = list({"".join(rnd.choice("ab") for _ in range(n)) for n in (1, 2, 7, 8, 9, 15, 16, 17, 40) for _ in range(300)})
+    raw, offsets = W.flat(pa.array([" ".join(words), " ".join(reversed(words))]))
+    starts, ends, _ = W.spans(raw, offsets)
+    for which in (0, 1):
+        names = W.word_names(raw, starts, ends, which).tolist()
+        assert len(set(names)) == len(words) and names[: len(words)] == names[len(words) :][::-1]
+
+
 def test_sketch_never_counts_too_low():
     rnd = np.random.default_rng(7)
     s, total = D.Sketch(), {}
-    parts = [np.unique(rnd.integers(0, 5000, 2000).astype(np.uint32)) for _ in range(3)]
-    for p in parts:
-        s.add(p, np.zeros(len(p), bool))
-        for x in p.tolist():
-            total[x] = total.get(x, 0) + 1
-    names = np.array(sorted(total), np.uint32)
-    assert all(r or total[n] < 2 for n, r in zip(names.tolist(), s.repeated(names).tolist(), strict=True))
+    for _ in range(3):
+        cells, times = np.unique(rnd.integers(0, 1 << D.CELL_BITS, 2000) // 1000 * 1000, return_counts=True)
+        assert (D._cells(*D._steps(cells.astype(np.uint64))) == cells).all()
+        s.add(cells, times > 1)
+        for x, n in zip(cells.tolist(), times.tolist(), strict=True):
+            total[x] = total.get(x, 0) + n
+    cells = np.array(sorted(total))
+    assert s.repeated(cells).tolist() == [total[c] >= 2 for c in cells.tolist()]
 
 
 def edit(a, b):

@@ -20,7 +20,7 @@ from blockloom.llm import tag_paths as T
 from blockloom.llm import toxicity as X
 
 BPE, WORD = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
-ODD = ["", None, " ", "  ", "a  b", "a \n b", " a", "a ", "\n\nx  ", "x\n y", "x \ny", "é ü z", "a\x1c b", "it's 's", "日本 語\n\n", "a" * 300, "x   \n", "\t\ta b  c\n\n d", "　　 b", "a\u0085 b", "<|endoftext|> x", "İstanbul ΣΑΣ ﬁ é"]
+ODD = ["", None, " ", "  ", "a  b", "a \n b", " a", "a ", "\n\nx  ", "x\n y", "x \ny", "é ü z", "a\x1c b", "it's 's", "日本 語\n\n", "a" * 300, "x   \n", "\t\ta b  c\n\n d", "　　 b", "a\u0085 b", "<|endoftext|> x", "a<|endoftext|>b, <|startoftext|>. <|ENDOFTEXT|> <|endoftext|", "İstanbul ΣΑΣ ﬁ é"]
 
 
 def mixed(n):
@@ -102,7 +102,6 @@ def test_packing(spark, docs):
     rnd = random.Random(3)
     rows = list(enumerate([*ODD, *mixed(2), *["lorem ipsum, " * rnd.randrange(900) for _ in range(40)], "very long words " * 9000])) + [(5, "again"), (None, "null id")]
     lib = Tokenizer.from_file(WORD)
-    lib.encode_special_tokens = True
     out = K.pack(docs(rows, extra=True).repartition(3), WORD).collect()
     want = {}
     for i, t in rows:
