@@ -281,12 +281,12 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM l),
-k AS (SELECT doc_id, at, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS key FROM w
-  WINDOW f AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
-r AS (SELECT doc_id, at FROM k WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, at) > 1),
-g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS at FROM r),
-s AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.at) AS kept, count(*) AS n FROM w ANTI JOIN g ON w.doc_id = g.doc_id AND w.at = g.at GROUP BY 1)
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM l),
+k AS (SELECT doc_id, pos, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS key FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, pos FROM k WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r),
+s AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS kept, count(*) AS n FROM w ANTI JOIN g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY 1)
 SELECT l.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
 FROM l LEFT JOIN s ON l.doc_id = s.doc_id
 """
