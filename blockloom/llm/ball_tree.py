@@ -1,27 +1,32 @@
 """Exact top-k inner-product search with ball trees.
 
-Vectors become integers, floor(scale * x). Rows are dealt into shards and each shard is kept as one
-packed row with its ball tree: a node's upper bound for a query q is q.centre + |q| * radius.
-Query blocks meet all shards; inside a task the shards come one after another and share each
-query's k-th best score so far, so later trees are cut early. Shards whose vectors are close to
-each other come first to a block by their bound at the root.
+Vectors become integers, floor(scale * x). Rows are dealt into cells around centres that are fitted on a
+bounded sample, and each cell into shards of bounded size; a shard is kept as one packed row with
+its ball tree. A ball's upper bound for a query q is q.centre + |q| * radius. Queries travel to
+shards, not shards to queries: in a first round each query searches one shard of the cell with
+its highest bound, which gives a k-th score; in a second round it goes, with that score, only to
+shards of cells whose bound reaches it, and inside a tree only down branches whose bound does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import cut
 
 SCALE = 1024
 SHARD_ROWS = 16_384  # rows of a shard, about
-QUERY_ROWS = 1024  # queries of a block, about
-GROUPS = 8  # tasks that a query block's shards are dealt to
+QUERY_ROWS = 4096  # queries that meet a shard at once, about
+CELLS = 64  # of one dimension, at most
+SAMPLE = 4096  # rows that centres are fitted on, at most; all rows are dealt to the cells
 LEAF = 128
 NO_SCORE = -(2**62)
+LARGEST = 2.0**62  # components whose scaled value reaches this are refused
 
 
 def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,70 +85,166 @@ class Best:
         self.vec[rows] = np.take_along_axis(vec, order, 1)
 
 
-def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, nodes: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> None:
-    """Branch and bound over one tree (vectors in its order), for all queries that still may gain."""
+def _products(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact inner products, NO_SCORE where `own` says so. Doubles hold them below 2^52, 64-bit integers below
+    2^62; beyond that they are computed with numbers of any size, and one that no bigint holds is an error."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
+    if most < 2**52:
+        out = np.rint(queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    elif most < 2**62:
+        out = queries @ vectors.T
+    else:
+        wide = np.where(own, 0, queries.astype(object) @ vectors.astype(object).T)
+        if any(not NO_SCORE < x < 2**63 for x in wide.ravel()):
+            raise OverflowError("an inner product does not fit a bigint")
+        out = wide.astype(np.int64)
+    out[own] = NO_SCORE
+    return out
+
+
+def search(best: Best, floor: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, nodes: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> None:
+    """Branch and bound over one tree (vectors in its order), for all queries that still may gain. `floor` is
+    a k-th score that each query has elsewhere."""
     if not len(nodes):
         return
-    norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-    wide = vectors.astype(np.float64)  # products of scaled components are exact well below 2^53
     points = queries.astype(np.float64)
-    exact = float(np.abs(points).max(initial=0)) * float(np.abs(wide).max(initial=0)) * wide.shape[1] < 2**52
+    norm = np.sqrt((points**2).sum(1))
     stack = [(0, np.arange(len(queries)), points @ centres[0] + norm * radii[0])]
     while stack:
         node, rows, bound = stack.pop()
-        open_ = bound + 1e-6 * np.abs(bound) + 1e-3 >= best.score[rows, -1]
-        rows = rows[open_]
+        rows = rows[reaches(bound, np.maximum(best.score[rows, -1], floor[rows]))]
         if not len(rows):
             continue
         lo, hi, left, right = nodes[node]
         if left < 0:
             for at in range(lo, hi, 4096):
                 some = slice(at, min(hi, at + 4096))
-                scores = np.rint(points[rows] @ wide[some].T).astype(np.int64) if exact else queries[rows].astype(np.int64) @ vectors[some].astype(np.int64).T
-                mine = query_ids[rows][:, None] == ids[some][None]
-                scores[mine] = NO_SCORE
-                best.offer(rows, scores, ids[some])
+                own = query_ids[rows][:, None] == ids[some][None]
+                best.offer(rows, _products(queries[rows], vectors[some], own), ids[some])
             continue
         bounds = [points[rows] @ centres[c] + norm[rows] * radii[c] for c in (left, right)]
-        first = int(bounds[1].mean() > bounds[0].mean())  # the better half is searched first
-        stack.append(((left, right)[1 - first], rows, bounds[1 - first]))
-        stack.append(((left, right)[first], rows, bounds[first]))
+        # each query takes its own better half first
+        first = bounds[0] >= bounds[1]
+        for mine, order in ((first, (1, 0)), (~first, (0, 1))):
+            if mine.any():
+                for c in order:
+                    stack.append(((left, right)[c], rows[mine], bounds[c][mine]))
+
+
+def reaches(bound: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Whether an upper bound reaches a score, rounding errors allowed for."""
+    return bound + 1e-6 * np.abs(bound) + 1e-3 >= score
+
+
+def _centres(rows: DataFrame, cells: int) -> dict[int, np.ndarray]:
+    """Up to `cells` centres for each dimension among at most SAMPLE rows, those of the lowest hash."""
+    by_dim: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("dim", "v").collect():
+        by_dim.setdefault(r.dim, []).append(r.v)
+    out = {}
+    for dim, found in by_dim.items():
+        data = np.unique(np.array(found, np.float64), axis=0)
+        centres = data[np.random.default_rng(dim).permutation(len(data))[:cells]]
+        for _ in range(5):
+            near = _nearest(data, centres)[0]
+            centres = np.array([data[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        out[dim] = centres
+    return out
+
+
+def _nearest(data: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and the distance to it."""
+    near = ((centres**2).sum(1) - 2 * data @ centres.T).argmin(1)
+    return near, np.sqrt(((data - centres[near]) ** 2).sum(1))
+
+
+def _dealt(model: dict[int, np.ndarray]):
+    """Rows with their cell and their distance from its centre; a dimension that the sample missed is one cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            v = batch.column("v")
+            flat, ends = v.flatten().to_numpy(), np.cumsum(dims)
+            cell, dist = np.zeros(len(dims), np.int64), np.full(len(dims), np.inf)
+            packed = [b""] * len(dims)
+            for dim in np.unique(dims).tolist():
+                mine = np.flatnonzero(dims == dim)
+                data = flat[(ends[mine] - dim)[:, None] + np.arange(dim)]
+                if dim in model:
+                    cell[mine], dist[mine] = _nearest(data.astype(np.float64), model[dim])
+                for i, x in zip(mine.tolist(), data, strict=True):
+                    packed[i] = x.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), pa.array(cell), pa.array(dist), pa.array(packed, pa.binary())], ["vec_id", "dim", "cell", "dist", "v"])
+
+    return run
+
+
+def _bounded(model: dict[int, np.ndarray]):
+    """Each query and cell with the cell's upper bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cells, radius = (batch.column(c).to_numpy() for c in ("dim", "cell", "radius"))
+            bound = np.full(len(dims), np.inf)
+            q = batch.column("v")
+            for dim in np.unique(dims).tolist():
+                mine = np.flatnonzero((dims == dim) & np.isfinite(radius))
+                if dim in model and len(mine):
+                    points = np.frombuffer(b"".join(q[i].as_py() for i in mine.tolist()), np.int64).reshape(-1, dim).astype(np.float64)
+                    bound[mine] = (points * model[dim][cells[mine]]).sum(1) + np.sqrt((points**2).sum(1)) * radius[mine]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], [*batch.schema.names, "bound"])
+
+    return run
 
 
 def _pack_shard(table: pa.Table) -> pa.Table:
-    ids = table.column("vec_id").to_numpy()
-    vectors = np.array(table.column("v").to_pylist(), np.int64).reshape(len(ids), -1)
+    ids, dim = table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
+    vectors = np.frombuffer(b"".join(table.column("v").to_pylist()), np.int64).reshape(len(ids), dim)
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], vectors[by_id]
     order, nodes, centres, radii = build(vectors)
     pack = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
-    return pa.table({"shard": table.column("shard")[:1], "dim": pa.array([vectors.shape[1]], pa.int64()), "ids": pack(ids[order]), "vectors": pack(vectors[order]), "nodes": pack(nodes), "centres": pack(centres), "radii": pack(radii)})
+    return pa.table({**{n: table.column(n)[:1] for n in _SHARD}, "ids": pack(ids[order]), "vectors": pack(vectors[order]), "nodes": pack(nodes), "centres": pack(centres), "radii": pack(radii)})
 
 
-_PACKED = "shard bigint, dim bigint, ids binary, vectors binary, nodes binary, centres binary, radii binary"
+_SHARD = ["dim", "cell", "shard"]
+_PACKED = "dim bigint, cell bigint, shard bigint, ids binary, vectors binary, nodes binary, centres binary, radii binary"
+_FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def _search_task(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        dim = table.column("dim")[0].as_py()
-        query_ids = np.frombuffer(table.column("query_ids")[0].as_buffer(), np.int64)
-        queries = np.frombuffer(table.column("queries")[0].as_buffer(), np.int64).reshape(-1, dim)
-        read = lambda name, i, kind: np.frombuffer(table.column(name)[i].as_buffer(), kind)
-        best, shards = Best(len(queries), k), []
-        for i in range(table.num_rows):
-            centre, radius = read("centres", i, np.float64)[:dim], read("radii", i, np.float64)[:1]
-            shards.append((-float((queries @ centre).mean()) - float(radius[0]) if len(radius) else 0.0, i))
-        for _, i in sorted(shards):
-            search(
-                best, queries, query_ids, read("vectors", i, np.int64).reshape(-1, dim), read("ids", i, np.int64),
-                read("nodes", i, np.int64).reshape(-1, 4), read("centres", i, np.float64).reshape(-1, dim), read("radii", i, np.float64),
-            )
-        row, col = np.nonzero(best.score > NO_SCORE)
+    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        if not shard.num_rows or not asked.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+        dim = shard.column("dim")[0].as_py()
+        query_ids = asked.column("vec_id").to_numpy()
+        queries = np.frombuffer(b"".join(asked.column("v").to_pylist()), np.int64).reshape(-1, dim)
+        floor = asked.column("floor").to_numpy()
+        read = lambda name, kind: np.frombuffer(shard.column(name)[0].as_buffer(), kind)
+        best = Best(len(queries), k)
+        search(best, floor, queries, query_ids, read("vectors", np.int64).reshape(-1, dim), read("ids", np.int64), read("nodes", np.int64).reshape(-1, 4), read("centres", np.float64).reshape(-1, dim), read("radii", np.float64))
+        row, col = np.nonzero((best.score > NO_SCORE) & (best.score >= floor[:, None]))
         return pa.table({"query_id": query_ids[row], "vec_id": best.vec[row, col], "score": best.score[row, col]})
 
     return run
 
 
+def _searched(asked: DataFrame, packed: DataFrame, k: int, parts: int) -> DataFrame:
+    """What queries (vec_id, v, floor, and the shard they go to) find there. A shard meets its queries in
+    parts of bounded size."""
+    keys = [*_SHARD, "part"]
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    met = packed.join(asked.select(*keys).distinct().toDF(*keys), _SHARD).toDF(*_SHARD, "ids", "vectors", "nodes", "centres", "radii", "part")
+    return met.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search_task(k), _FOUND)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; Spark keeps k of each before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row whose id is divisible by `every`: the k
     highest inner products with all other rows, ties to the smaller id, all if there are fewer.
@@ -151,35 +252,35 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     Components become floor(scale * x). Rows take no part if the id or vector is null or empty, or a
     component is null or not finite; rows of another dimension are compared among themselves. A row
     is no candidate for a query of its own id; rows repeated under one id count once each as
-    candidates and once as query. An empty table gives an empty result.
+    candidates and once as query, with the least vector. A component whose scaled value reaches 2^62, or a score that no bigint
+    holds, is an error. An empty table gives an empty result; other columns are not read.
     """
     v = F.col(vector_col)
     whole = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
+    scaled = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    fits = F.forall(v, lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) < F.lit(LARGEST))
+    checked = F.when(fits, scaled).otherwise(F.raise_error(F.lit("a component is too large to be scaled")).cast("array<bigint>"))
+    rows = vectors.where(F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("bigint").alias("vec_id"), checked.alias("v"))
     rows = rows.withColumn("dim", F.size("v").cast("bigint"))
     total = rows.count()
-    shards = max(1, -(-total // SHARD_ROWS))
-    blocks = max(1, -(-total // every // QUERY_ROWS))
-    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))
-    packed = cut(rows.withColumn("shard", shard).groupBy("shard", "dim").applyInArrow(_pack_shard, _PACKED))
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-
-    def pack_queries(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        data = np.array(table.column("v").to_pylist(), np.int64).reshape(len(ids), -1)
-        one = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
-        return pa.table({"block": table.column("block")[:1], "dim": table.column("dim")[:1], "query_ids": one(ids), "queries": one(data)})
-
-    queries = asked.groupBy("block", "dim").applyInArrow(pack_queries, "block bigint, dim bigint, query_ids binary, queries binary")
-    groups = min(GROUPS, shards)
-    # a block of queries meets the shards in `groups` tasks; a shard goes to one of them for each block
-    spread = queries.withColumn("part", F.explode(F.array(*(F.lit(i) for i in range(groups)))))
-    sent = packed.withColumn("part", (F.col("shard") % groups).cast("int"))
-    met = spread.join(sent, ["dim", "part"])
-    found = met.groupBy("block", "dim", "part").applyInArrow(_search_task(k), "query_id bigint, vec_id bigint, score bigint")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
-    best = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("b"))  # at most k rows from each task
-    return best.select("query_id", F.posexplode("b").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    model = _centres(rows, min(CELLS, max(1, total // SHARD_ROWS)))
+    dealt = cut(rows.mapInArrow(_dealt(model), "vec_id bigint, dim bigint, cell bigint, dist double, v binary"))
+    cells = dealt.groupBy("dim", "cell").agg(F.max("dist").alias("radius"), F.ceil(F.count(F.lit(1)) / F.lit(SHARD_ROWS)).alias("shards"))
+    placed = dealt.join(cells.drop("radius"), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "shards"))
+    packed = cut(placed.select("vec_id", "v", *_SHARD).groupBy(*_SHARD).applyInArrow(_pack_shard, _PACKED))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).mapInArrow(_dealt(model), "vec_id bigint, dim bigint, cell bigint, dist double, v binary").drop("cell", "dist")
+    bounds = cut(asked.join(cells, "dim").mapInArrow(_bounded(model), "dim bigint, vec_id bigint, v binary, cell bigint, radius double, shards bigint, bound double"))
+    parts = max(1, -(-total // every // QUERY_ROWS))
+    own = Window.partitionBy("vec_id", "dim").orderBy(F.desc("bound"), "cell")  # at most CELLS rows each
+    nearest = bounds.withColumn("nth", F.row_number().over(own)).where("nth = 1").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards"))
+    first = cut(_searched(nearest.select("vec_id", "v", *_SHARD, F.lit(NO_SCORE).alias("floor")), packed, k, parts))
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    floors = nearest.select("vec_id", "dim", F.col("cell").alias("done_cell"), F.col("shard").alias("done_shard")).join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    floors = floors.withColumn("floor", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(NO_SCORE)))
+    later = bounds.join(floors, ["vec_id", "dim"]).where("bound + 1e-6D * abs(bound) + 1e-3D >= floor").withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1)")))
+    later = later.where("not (cell = done_cell and shard = done_shard)").select("vec_id", "v", *_SHARD, "floor")
+    found = first.union(_searched(later, packed, k, parts))
+    return _top(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_ball_tree(spark, sf_dir: str) -> DataFrame:

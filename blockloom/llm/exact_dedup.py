@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cut
+from blockloom.llm.common import cut, unused, width
+from blockloom.llm.words import slices
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525)
 CHUNK = 1 << 14  # bytes hashed at once; 255 * 2^31 * 2^14 fits in 64 bits
 COMPARED = 1 << 18  # bytes compared at once
+LONG = 4 << 20  # bytes; longer texts are hashed in chunks of this size, in tasks of their own
+_NONE = -(2**63)  # stands for a null id in joins
 SALTS = 16  # parts in which one class of copies is dealt out
 
 
@@ -76,31 +79,62 @@ def normalised(data: bytes) -> bytes:
     return data
 
 
-def _fingerprints(carry: bool, primes: tuple[int, ...]):
+_SCHEMA = "doc_id bigint, n_bytes bigint, f1 bigint, f2 bigint, sha binary"
+_SCHEMA_NAMES = ["doc_id", "n_bytes", "f1", "f2", "sha"]
+_KEY = ["n_bytes", "f1", "f2"]
+_NORMALISED = r"regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ')"
+
+
+def _fingerprints(primes: tuple[int, ...]):
+    """Texts of at most LONG bytes, each hashed whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = [normalised(t.as_buffer().to_pybytes()) for t in part.column("text").cast(pa.large_binary())]
+                cols = [
+                    part.column("doc_id"),
+                    pa.array([len(t) for t in rows], pa.int64()),
+                    pa.array([fingerprint(t, 0, primes) for t in rows], pa.int64()),
+                    pa.array([fingerprint(t, 1, primes) for t in rows], pa.int64()),
+                    pa.array([hashlib.sha256(t).digest() for t in rows], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, _SCHEMA_NAMES)
+
+    return run
+
+
+def _chunk_hashes(primes: tuple[int, ...]):
+    """Hashes of chunks of long texts, and the factors that shift what stands before a chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [normalised(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text").cast(pa.large_binary())]
-            cols = [
-                batch.column("doc_id"),
-                pa.array([len(t) for t in rows], pa.int64()),
-                pa.array([fingerprint(t, 0, primes) for t in rows], pa.int64()),
-                pa.array([fingerprint(t, 1, primes) for t in rows], pa.int64()),
-                pa.array([hashlib.sha256(t).digest() for t in rows], pa.binary()),
-            ]
-            names = ["doc_id", "n_bytes", "f1", "f2", "sha"]
-            if carry:
-                cols.append(pa.array(rows, pa.large_binary()).cast(pa.binary()))
-                names.append("body")
+            parts = [x.as_buffer().to_pybytes() for x in batch.column("part")]
+            cols = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "part"]
+            names = [n for n in batch.schema.names if n != "part"]
+            for w in (0, 1):
+                cols += [pa.array([fingerprint(x, w, primes) for x in parts], pa.int64()), pa.array([pow(BASES[w], len(x), primes[w]) for x in parts], pa.int64())]
+                names += [f"h{w}", f"p{w}"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-_SCHEMA = "doc_id bigint, n_bytes bigint, f1 bigint, f2 bigint, sha binary"
-_KEY = ["n_bytes", "f1", "f2"]
+def _marked(source: DataFrame, primes: tuple[int, ...], long: int) -> DataFrame:
+    """Fingerprints and SHA-256 of all texts. A longer text is cut in chunks, which are dealt out over the
+    tasks, hashed each on its own, and put together by length-shifted sums."""
+    short = source.where(f"octet_length(text) <= {long}").mapInArrow(_fingerprints(primes), _SCHEMA)
+    whole = source.where(f"octet_length(text) > {long}").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.expr(f"cast({_NORMALISED} as binary)").alias("norm"))
+    whole = whole.select("row", "doc_id", F.octet_length("norm").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
+    at = F.posexplode(F.expr(f"transform(sequence(0, greatest(0, (n_bytes - 1) div {long})), i -> substring(norm, cast(i * {long} + 1 as int), {long}))")).alias("chunk", "part")
+    chunks = whole.select("row", "doc_id", "n_bytes", "sha", at).repartition(width(source.sparkSession), "row", "chunk")
+    hashed = chunks.mapInArrow(_chunk_hashes(primes), "row bigint, doc_id bigint, n_bytes bigint, sha binary, chunk int, h0 bigint, p0 bigint, h1 bigint, p1 bigint")
+    listed = hashed.groupBy("row", "doc_id", "n_bytes", "sha").agg(F.array_sort(F.collect_list(F.struct("chunk", "h0", "p0", "h1", "p1"))).alias("c"))
+    fold = lambda w: F.expr(f"aggregate(c, 0L, (s, x) -> (s * x.p{w} + x.h{w}) % {primes[w]}L)").alias(f"f{w + 1}")
+    return short.union(listed.select("doc_id", "n_bytes", fold(0), fold(1), "sha"))
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, ...] = PRIMES) -> DataFrame:
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, ...] = PRIMES, long: int = LONG) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, sha (binary SHA-256 of the
     normalised text), n_bytes.
 
@@ -108,67 +142,73 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     space; a null text counts as empty. The smallest id of a class stays. Null ids come after
     all others: such a row stays only if its whole class has none. Of rows that repeat the
     id that stays, one is kept. Other columns of `docs` are not read; an empty table gives
-    an empty result.
+    an empty result. Texts over `long` bytes are hashed in chunks side by side.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = cut(source.mapInArrow(_fingerprints(False, primes), _SCHEMA).withColumn("level", F.lit(0)))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marked = cut(_marked(source, primes, long).withColumn("level", F.lit(0)))
     level = 0
     while True:
         classes = marked.groupBy(*_KEY, "level").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        wrong = _mismatches(source, marked, classes, level, primes)
+        repeated = classes.where("group_size > 1")
+        wrong = _mismatches(source, marked, repeated.where(F.col("level") == level))
         if wrong is None:
             break
+        moved = wrong.withColumns({"wrong": F.lit(True), "level": F.lit(level)})
         level += 1
-        moved = wrong.withColumn("wrong", F.lit(True))
         marked = cut(
-            marked.join(moved, ["doc_id", "sha", "level"], "left")
+            marked.join(moved, [*_KEY, "sha", "level"], "left")
             .withColumn("level", F.when(F.col("wrong"), level).otherwise(F.col("level")))
             .select(*_SCHEMA_NAMES, "level")
         )
-    return _numbered(marked, classes)
+    return _numbered(marked, repeated)
 
 
-_SCHEMA_NAMES = ["doc_id", "n_bytes", "f1", "f2", "sha"]
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
 
 
-def _numbered(marked: DataFrame, classes: DataFrame) -> DataFrame:
+def _numbered(marked: DataFrame, repeated: DataFrame) -> DataFrame:
     """Each document with its class. Equal rows are counted first, so that of several with
-    the id that stays exactly one is kept."""
+    the id that stays exactly one is kept. Only classes of several rows are joined, in parts."""
     rows = marked.groupBy("doc_id", *_KEY, "level", "sha").agg(F.count(F.lit(1)).alias("times"))
-    out = rows.join(classes, [*_KEY, "level"])
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = rows.join(_salted(repeated), [*_KEY, "level", "salt"], "left")
+    out = out.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("bigint"))
     return out.select("*", F.posexplode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth", "_n")).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)).alias("kept"), "sha", "n_bytes",
     )
 
 
-def _mismatches(source: DataFrame, marked: DataFrame, classes: DataFrame, level: int, primes: tuple[int, ...]) -> DataFrame | None:
-    """Documents of this level whose bytes differ from the one that would stay; None if none do."""
-    repeated = classes.where((F.col("group_size") > 1) & (F.col("level") == level))
-    if level:
-        repeated = repeated.join(marked.where(F.col("level") == level).select("doc_id", "sha", *_KEY), _KEY)
-    salted = repeated.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    bodies = source.mapInArrow(_fingerprints(True, primes), f"{_SCHEMA}, body binary")
-    bodies = bodies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    members = bodies.join(salted, [*_KEY, "salt"] + (["doc_id", "sha"] if level else [])).select("doc_id", "keep_id", "sha", *_KEY, "body")
+def _mismatches(source: DataFrame, marked: DataFrame, repeated: DataFrame) -> DataFrame | None:
+    """Texts (key and SHA) of these classes whose bytes differ from the one that would stay; None if none do.
+    Only texts of such classes are read again, and they are cut in chunks before they are joined."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    listed = marked.select("doc_id", "sha", "level", *_KEY, salt).join(_salted(repeated), [*_KEY, "level", "salt"])
+    wanted = listed.select(F.coalesce("doc_id", F.lit(_NONE)).alias("who"), "sha", *_KEY, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")).distinct()
+    bodies = source.select(F.coalesce("doc_id", F.lit(_NONE)).alias("who"), F.expr(f"cast({_NORMALISED} as binary)").alias("body"))
+    members = bodies.withColumn("sha", F.unhex(F.sha2("body", 256))).join(wanted, ["who", "sha"])
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("body") - 1) / COMPARED)).cast("int")))
-    members = cut(members.withColumn("chunk", at).withColumn("part", F.expr(f"substring(body, chunk * {COMPARED} + 1, {COMPARED})")).drop("body"))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    keeper = members.where(F.col("doc_id") == F.col("keep_id")).groupBy(*_KEY, "chunk").agg(F.min(F.struct("sha", "part")).alias("k"))
-    keeper = keeper.select(*_KEY, "chunk", F.col("k.part").alias("kept_part"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    members = cut(members.withColumn("chunk", at).select("who", "sha", *_KEY, "stays", "chunk", F.expr(f"substring(body, chunk * {COMPARED} + 1, {COMPARED})").alias("part")))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("who", "sha"), F.lit(SALTS)).cast("int"))
+    # of a class without ids, and of texts that share the id that stays, the one of the least hash is compared with
+    keeper = members.where("stays").groupBy(*_KEY, "chunk").agg(F.min(F.struct("sha", "part")).alias("k"))
+    keeper = _salted(keeper.select(*_KEY, "chunk", F.col("k.part").alias("kept_part")))
     differ = members.join(keeper, [*_KEY, "chunk", "salt"]).where(F.col("part") != F.col("kept_part"))
-    differ = cut(differ.select("doc_id", "sha").distinct())
-    return None if differ.isEmpty() else differ.withColumn("level", F.lit(level))
+    differ = cut(differ.select(*_KEY, "sha").distinct())
+    return None if differ.isEmpty() else differ
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, all columns. One row of each class, also where ids repeat:
-    the row is found again by its id and text, and of repeated rows one is taken."""
+    the row is found again by its id and text, and of repeated rows one is taken. Columns may have
+    any names; an empty table gives an empty result."""
+    spare = unused(docs, "key")
     key = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), sha)
-    kept = exact_classes(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.lower(F.hex("sha"))).alias("_key"))
+    kept = exact_classes(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.lower(F.hex("sha"))).alias(spare))
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    marked = docs.withColumn("_key", key(F.col(id_col).cast("bigint"), F.sha2(text, 256)))
-    return marked.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    marked = docs.withColumn(spare, key(F.col(id_col).cast("bigint"), F.sha2(text, 256)))
+    return marked.join(kept, spare, "left_semi").dropDuplicates([spare]).drop(spare)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.common import unused
+
 ROUNDS = 8
 KEY = "blockloom-demo-key"  # a parameter; production passes its own secret
 FIRST_DAY, DAYS = "1900-01-01", 73049  # the days of the years 1900 to 2099
@@ -196,21 +198,22 @@ def pseudonym(x: str, key: str = KEY) -> str:
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str | None = None) -> DataFrame:
     """`docs` with all valid candidates in `text_col` replaced by their pseudonyms; `found_col`, if
-    given, counts them. A null text stays null, an empty one empty; other columns, null ids and
-    repeated rows are carried along. Values that fail their check are left alone, so that order
+    given, counts them. A null text stays null, an empty one empty; other columns, whatever their
+    names, null ids and repeated rows are carried along; an empty table gives an empty result. Values that fail their check are left alone, so that order
     numbers and measurements keep their meaning.
     """
     pattern = _literal(NUMBER)
-    found = f"regexp_extract_all(_text, {pattern}, 0)"
+    plain, fresh = unused(docs, "plain"), unused(docs, "fresh")
+    found = f"regexp_extract_all({plain}, {pattern}, 0)"
     new = f"transform({found}, x -> {pseudonym('x', key)})"
-    named = docs.withColumn("_text", F.col(text_col).cast("string"))
-    named = named.withColumn("_new", F.expr(f"if(_text rlike '[0-9@]', {new}, cast(array() as array<string>))"))
-    joined = F.expr(f"if(size(_new) = 0, _text, array_join(flatten(zip_with(split(_text, {pattern}, -1), _new, (g, m) -> if(m is null, array(g), array(g, m)))), ''))")
+    named = docs.withColumn(plain, F.col(text_col).cast("string"))
+    named = named.withColumn(fresh, F.expr(f"if({plain} rlike '[0-9@]', {new}, cast(array() as array<string>))"))
+    joined = F.expr(f"if(size({fresh}) = 0, {plain}, array_join(flatten(zip_with(split({plain}, {pattern}, -1), {fresh}, (g, m) -> if(m is null, array(g), array(g, m)))), ''))")
     out = named.withColumn(text_col, joined)
     if found_col:
-        changed = F.expr(f"if(size(_new) = 0, 0, size(filter(zip_with({found}, _new, (o, m) -> o <> m), t -> t)))").cast("bigint")
+        changed = F.expr(f"if(size({fresh}) = 0, 0, size(filter(zip_with({found}, {fresh}, (o, m) -> o <> m), t -> t)))").cast("bigint")
         out = out.withColumn(found_col, changed)
-    return out.drop("_text", "_new")
+    return out.drop(plain, fresh)
 
 
 def op1_pseudonyms(spark, sf_dir: str) -> DataFrame:

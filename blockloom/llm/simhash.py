@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import words as W
-from blockloom.llm.common import cut, width
+from blockloom.llm.common import cut, unused, width
 from blockloom.llm.graph import components
 
 U = np.uint64
@@ -214,10 +214,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id names their component; where ids repeat, one row each."""
+    """The rows of `docs` whose id names their component, all columns; where ids repeat, one row each. Columns
+    may have any names; an empty table gives an empty result."""
+    spare = unused(docs, "key")
     key = lambda i: F.coalesce(i.cast("bigint").cast("string"), F.lit(""))
-    kept = near_classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("_key"))
-    return docs.withColumn("_key", key(F.col(id_col))).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = near_classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias(spare))
+    return docs.withColumn(spare, key(F.col(id_col))).join(kept, spare, "left_semi").dropDuplicates([spare]).drop(spare)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import words as W
+from blockloom.llm.common import unused
 
 U = np.uint64
 SAMPLE = 8000  # labelled rows that the model is fitted on, at most
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     characters. An id with several labels counts as toxic if one says so."""
     marks = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     marks = marks.where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # ids are distinct: bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.col(text_col)).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
     fitted = rows.coalesce(64).repartition(1).mapInArrow(_fit_task, "feature bigint, weight double")
@@ -155,11 +156,12 @@ def score_texts(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with a column `score` (0 to 1) from the whole text; a null text counts as empty. Only
-    the text is read by the model. A column of that name in `docs` is replaced."""
-    docs = docs.drop("score", "_text")
-    names = docs.columns
+def score(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`docs` with a column `score_col` (0 to 1) from the whole text; a null text counts as empty. Only
+    the text is read by the model. A column of that name in `docs` is replaced; all others, null ids
+    and repeated rows are carried along; an empty table gives an empty result."""
+    docs = docs.drop(score_col)
+    names, low = docs.columns, unused(docs, "low")
     bias = model.get(-1, -8.0)
     at = np.array(sorted(k for k in model if k >= 0), np.int64)
     value = np.array([model[k] for k in at.tolist()])
@@ -168,12 +170,12 @@ def score(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", text
         weights = np.zeros(1 << BITS)
         weights[at] = value
         for batch in batches:
-            for part in W.slices(batch, "_text", 1 << 20):
-                got = score_texts(part.column("_text"), weights, bias)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got)], [*names, "score"])
+            for part in W.slices(batch, low, 1 << 20):
+                got = score_texts(part.column(low), weights, bias)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got)], [*names, score_col])
 
-    schema = docs.schema.add("score", "double")
-    return docs.withColumn("_text", F.lower(F.col(text_col))).mapInArrow(run, schema)
+    schema = docs.schema.add(score_col, "double")
+    return docs.withColumn(low, F.lower(F.col(text_col))).mapInArrow(run, schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

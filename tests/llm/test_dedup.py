@@ -56,15 +56,28 @@ def test_exact(docs, primes):
     assert sorted(repr((r.doc_id, r.keep_id, r.group_size, bytes(r.sha).hex())) for r in out) == exact_brute(rows)
     for keep in {r.sha for r in out}:
         assert sum(r.kept for r in out if r.sha == keep) == 1
-    kept = E.exact_dedup(docs(rows, extra=True))
-    assert kept.count() == len({r.sha for r in out}) and kept.columns == docs(rows, extra=True).columns
+    clash = docs(rows, extra=True).selectExpr("*", "'k' as key_", "'q' as _key", "7 as gone")
+    kept = E.exact_dedup(clash)
+    assert kept.count() == len({r.sha for r in out}) and kept.columns == clash.columns and {(r.key_, r._key) for r in kept.collect()} == {("k", "q")}
+    # long texts in chunks have the fingerprints of whole ones
+    cut_up = E.exact_classes(docs(rows, extra=True), primes=primes, long=7).collect()
+    assert sorted(map(repr, cut_up)) == sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("primes", [E.PRIMES, (3, 5)])
+def test_exact_without_ids(docs, primes):
+    """Classes of rows without an id are compared too: different texts never become one group."""
+    rows = [(None, t) for t in ("aa", "ab", "ba", "bb", "aa", "abab", "baba", "cc dd", "dd cc", "cc\tdd")]
+    out = E.exact_classes(docs(rows), primes=primes).collect()
+    assert sorted(repr((r.doc_id, r.keep_id, r.group_size, bytes(r.sha).hex())) for r in out) == exact_brute(rows)
+    assert sum(r.kept for r in out) == 8 and E.exact_dedup(docs(rows)).count() == 8
 
 
 def test_empty_tables(docs):
     none = docs([])
     assert E.exact_classes(none).count() == 0 and S.near_classes(none).count() == 0
     assert D.remove_repeats(none).count() == 0 and L.fuzzy_lines(none).count() == 0
-    assert E.exact_dedup(none).count() == 0 and S.near_dedup(none).count() == 0
+    assert E.exact_dedup(none).count() == 0 and S.near_dedup(none).count() == 0 and L.without_lines(none, L.fuzzy_lines(none)).count() == 0
 
 
 def test_components(spark):
@@ -270,7 +283,7 @@ def test_fuzzy_lines(spark, docs):
         kept = [(d, i) for d, i, gone in places if not gone]
         assert len(kept) == 1 and kept[0] == min(((d, i) for d, i, _ in places if d is not None), default=kept[0])
     unique = docs([(i, t) for i, t in rows if i is not None and i != 3])
-    texts = {r.doc_id: r.text for r in L.without_lines(unique, L.fuzzy_lines(unique)).collect()}
+    texts = {r.doc_id: r.text for r in L.without_lines(unique.selectExpr("*", "1 as gone", "2 as _gone"), L.fuzzy_lines(unique)).collect()}
     assert texts[92] == "\n\n" and texts[90] is None
 
 def test_fuzzy_lines_recall(docs):

@@ -30,6 +30,7 @@ def brute(rows, k=10, every=100):
 def test_search(spark, monkeypatch, shard):
     monkeypatch.setattr(B, "SHARD_ROWS", shard)
     monkeypatch.setattr(B, "QUERY_ROWS", 2)
+    monkeypatch.setattr(B, "SAMPLE", 100)
     monkeypatch.setattr(B, "LEAF", 8)
     rnd = random.Random(1)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(400)] + [(500 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(60)]
@@ -41,6 +42,19 @@ def test_search(spark, monkeypatch, shard):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in B.top_k(few).collect()) == brute(rows[:4])
 
 
+def test_large_components(spark):
+    """Products beyond doubles and beyond 64 bits inside, exact or an error and never wrong."""
+    big = [(100, [3e9, 1.0, 0.5]), (1, [2000.0, 7.0, 3.0]), (2, [2000.0, 7.0, 4.0]), (3, [-5e3, 1.0, 1.0]), (200, [1.5, 2.5, 1e5])]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in B.top_k(spark.createDataFrame(big, KIND)).collect()) == brute(big)
+    a, b = np.array([[2**40, 2**40]]), np.array([[2**40, 3 - 2**40], [5, -7]])
+    assert B._products(a, b, np.array([[False, False]])).tolist() == [[3 * 2**40, -(2**41)]]
+    assert B._products(a, a, np.array([[True]])).tolist() == [[B.NO_SCORE]]
+    with pytest.raises(OverflowError):
+        B._products(a, a, np.array([[False]]))
+    with pytest.raises(Exception, match="too large"):
+        B.top_k(spark.createDataFrame([(100, [1e30]), (1, [1.0])], KIND)).collect()
+
+
 def test_tree_bounds_hold():
     rnd = np.random.default_rng(2)
     v = rnd.integers(-500, 500, (1000, 8))

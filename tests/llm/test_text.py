@@ -265,7 +265,8 @@ def test_long_odd_pages_take_linear_time():
 def test_pseudonyms(spark, docs):
     text = "4041894974608795 4041-8949-7460-8795 4041894974608796 a.b1@x.org +1 (499) 555-6503 217.94.102.185 2021-02-28 2021-02-30 31.12.1999 078-05-1120 GB82 WEST 1234 5698 7654 32"
     rows = [(1, text), (2, text), (3, None), (4, ""), (5, "no 12 numbers 3.5 v1.2.3.4.5"), (None, text), (6, "x " * 20_000 + "4041894974608795")]
-    out = {r.doc_id: r for r in N.pseudonymise(docs(rows, extra=True), found_col="n").collect()}
+    out = {r.doc_id: r for r in N.pseudonymise(docs(rows, extra=True).selectExpr("*", "'k' as plain", "'l' as _new", "'m' as fresh"), found_col="n").collect()}
+    assert {(r._text, r.plain, r._new, r.fresh) for r in out.values()} == {("z", "k", "l", "m")} and N.pseudonymise(docs([])).count() == 0
     new = out[1].text
     assert new == out[2].text == out[None].text and (out[1].n, out[5].n, out[4].n) == (9, 0, 0)
     assert out[3].text is None and out[4].text == "" and out[5].text == rows[4][1]
@@ -347,6 +348,8 @@ def test_toxicity(spark, docs):
     assert model == X.train(df.repartition(7), labels.repartition(5))
     out = X.score(df, model).collect()
     assert len(out) == df.count() and all(0 <= r.score <= 1 for r in out)
+    kept = X.score(df.selectExpr("*", "'l' as low"), model, score_col="mark").first()
+    assert (kept.score, kept.low, kept._text) == (3, "l", "z") and 0 <= kept.mark <= 1
     got = {r.doc_id: r.score for r in out}
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(got[i] >= 0.7) == bool(toxic[i]) for i in held]) > 0.97
