@@ -11,27 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import exact_dedup, packing, pseudonyms, simhash, toxicity
-from blockloom.llm.common import shared_path, table
+from blockloom.llm.common import shared_path, table, unused
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold stay. The model is fitted on the labelled rows."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents scored below the threshold stay. The model is fitted on the labelled rows. A null text is
+    scored as an empty one; other columns may have any names; an empty table stays empty."""
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), unused(docs, "score")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the smallest id stays, once. Null and empty texts are equal; an empty table stays empty."""
     return exact_dedup.exact_dedup(docs).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
+    """Of each group of near duplicates the smallest id stays. Blank texts are one group; an empty table stays empty."""
     return simhash.near_dedup(docs).select(*docs.columns)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and mailboxes become pseudonyms; n_chars follows the text."""
+    """Personal numbers, dates and mailboxes become pseudonyms; n_chars, if there, follows the text. Null texts
+    stay null; an empty table stays empty."""
     out = pseudonyms.pseudonymise(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -39,7 +41,7 @@ def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is packed into sequences."""
+    """Every document is packed into sequences; a null or empty text is its end token; an empty table has no rows."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
