@@ -44,7 +44,7 @@ def test_search(spark, monkeypatch, shard):
 
 def test_large_components(spark):
     """Products beyond doubles and beyond 64 bits inside, exact or an error and never wrong."""
-    big = [(100, [3e9, 1.0, 0.5]), (1, [2000.0, 7.0, 3.0]), (2, [2000.0, 7.0, 4.0]), (3, [-5e3, 1.0, 1.0]), (200, [1.5, 2.5, 1e5])]
+    big = [(100, [3e9, 1.0, 0.5]), (1, [2000.0, 7.0, 3.0]), (2, [2000.0, 7.0, 4.0]), (3, [-500.0, 1.0, 1.0]), (200, [1.5, 2.5, 1e5])]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in B.top_k(spark.createDataFrame(big, KIND)).collect()) == brute(big)
     a, b = np.array([[2**40, 2**40]]), np.array([[2**40, 3 - 2**40], [5, -7]])
     assert B._products(a, b, np.array([[False, False]])).tolist() == [[3 * 2**40, -(2**41)]]
