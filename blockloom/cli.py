@@ -7,39 +7,67 @@ import contextlib
 import os
 import sys
 import tempfile
-from concurrent.futures import ProcessPoolExecutor
+from collections.abc import Iterator
 
+from blockloom import __version__
 from blockloom.errors import BlockError
+from blockloom.functions import encoder, strict, threads
 from blockloom.functions import kernels as K
-from blockloom.functions import strict
 from blockloom.options import DecodeOptions, EncodeOptions, parse_concurrency
+from blockloom.streaming.chunks import StreamDecoder
+
+
+PIECE = 1 << 20
 
 
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="blockloom", allow_abbrev=False)
+    top.add_argument("--version", action="version", version=f"blockloom {__version__}")
     commands = top.add_subparsers(dest="command", required=True)
     for name in ("compress", "decompress", "test"):
         c = commands.add_parser(name, allow_abbrev=False)
         c.add_argument("input", nargs="?", default="-")
         c.add_argument("--concurrency", default="1")
+        c.add_argument("--backend", choices=("fast", "strict"), default="fast")
         if name != "test":
             c.add_argument("-o", "--output")
             c.add_argument("-f", "--force", action="store_true")
         if name == "compress":
             c.add_argument("-b", "--block-size", type=int, default=9)
         else:
-            c.add_argument("--backend", choices=("fast", "strict"), default="fast")
             c.add_argument("--max-output-bytes", type=int)
     return top
 
 
-def _encode(raw: bytes, level: int, workers: int) -> bytes:
-    size = K.slice_size(level)
-    parts = K.chunks(raw, size)
-    if workers == 1 or len(parts) < 2:
-        return K.compress(raw, level)
-    with ProcessPoolExecutor(workers) as pool:
-        return K.stitch(pool.map(K.encode_block, parts, [level] * len(parts)), level)
+def _pieces(f, size: int) -> Iterator[bytes]:
+    while piece := f.read(size):
+        yield piece
+
+
+def _encoded(f, level: int, workers: int, backend: str) -> Iterator[bytes]:
+    """The input is read as it is needed: a slice for each block in flight."""
+    if backend == "strict":
+        yield encoder.compress(f.read(), level)
+    else:
+        yield from threads.encode(_pieces(f, K.slice_size(level)), level, workers)
+
+
+def _decoded(f, options: DecodeOptions, workers: int, backend: str) -> Iterator[bytes]:
+    """One worker holds a block and what is read of the next one; several, and the strict backend, the whole
+    input."""
+    if backend == "strict":
+        yield from (b["out"] for b in strict.blocks(f.read(), options, backend=backend))
+    elif workers > 1:
+        yield from (b["out"] for b in threads.blocks(f.read(), options, workers))
+    else:
+        decoder = StreamDecoder(options)
+        for piece in _pieces(f, PIECE):
+            yield from decoder.push(piece)
+            if decoder.error:
+                raise decoder.error
+        yield from decoder.finish()
+        if decoder.error:
+            raise decoder.error
 
 
 @contextlib.contextmanager
@@ -81,25 +109,23 @@ def main(argv: list[str] | None = None) -> int:
     except (TypeError, ValueError) as e:
         print(f"blockloom: {e}", file=sys.stderr)
         return 2
+    if workers > 1 and a.command != "compress" and (a.backend == "strict" or a.max_output_bytes is not None) or workers > 1 and a.command == "compress" and a.backend == "strict":
+        print("blockloom: --concurrency has no effect with the strict backend or an output limit", file=sys.stderr)
+        workers = 1
     try:
-        if a.input == "-":
-            data = sys.stdin.buffer.read()
-        else:
-            with open(a.input, "rb") as f:
-                data = f.read()
-        if a.command == "test":
-            for _ in strict.blocks(data, coding, backend=a.backend):
-                pass
-            return 0
-        with _sink(output, a.force) as f:
-            if a.command == "compress":
-                f.write(_encode(data, coding.block_size, workers))
-            else:
-                for b in strict.blocks(data, coding, backend=a.backend):
-                    f.write(b["out"])
+        with contextlib.nullcontext(sys.stdin.buffer) if a.input == "-" else open(a.input, "rb") as source:
+            if a.command == "test":
+                for _ in _decoded(source, coding, workers, a.backend):
+                    pass
+                return 0
+            with _sink(output, a.force) as f:
+                for part in _encoded(source, coding.block_size, workers, a.backend) if a.command == "compress" else _decoded(source, coding, workers, a.backend):
+                    f.write(part)
     except (OSError, BlockError) as e:
         print(f"blockloom: {e}", file=sys.stderr)
         return 1
+    except KeyboardInterrupt:  # what was begun is taken away by the sink
+        return 130
     return 0
 
 

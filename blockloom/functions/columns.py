@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.errors import ERROR_TYPE
+from blockloom.functions import encoder, strict
 from blockloom.functions import kernels as K
-from blockloom.functions import strict
 from blockloom.options import DecodeOptions, EncodeOptions
 
 _KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType()}
@@ -22,13 +22,15 @@ def _binary(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
-def bz2_compress(column: Column | str, level: int = 9) -> Column:
-    """Each value as an archive of one member; null stays null, empty gives an empty member."""
+def bz2_compress(column: Column | str, level: int = 9, backend: str = "fast") -> Column:
+    """Each value as an archive of one member; null stays null, empty gives an empty member. The backend
+    'strict' does all stages itself, and makes other bytes."""
     EncodeOptions(block_size=level)
+    coder = {"fast": K.compress, "strict": encoder.compress}[backend]
 
     @F.pandas_udf(T.BinaryType())
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else K.compress(v, level))
+        return values.map(lambda v: None if v is None else coder(v, level))
 
     return run(_binary(column))
 

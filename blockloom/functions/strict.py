@@ -7,7 +7,7 @@ defect. Member headers, stream checksums, padding and trailing bytes are always
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -194,11 +194,11 @@ def expand_runs(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(bytes(out), np.uint8)
 
 
-def blocks(data: bytes, options: DecodeOptions | None = None, found: list[tuple[int, str]] | None = None, backend: str = "fast") -> Iterator[dict]:
+def blocks(data: bytes, options: DecodeOptions | None = None, found: list[tuple[int, str]] | None = None, backend: str = "fast", ahead: Callable[[int, int], tuple[bytes, int] | None] | None = None) -> Iterator[dict]:
     """The blocks of an archive in order: {member, block, level, start_bit, end_bit, crc, out}, and per
     member one with block None and its stream checksum. Raises BlockError at the first defect,
     after all good blocks before it. `found` are marker candidates, which may hold false ones;
-    `backend` 'strict' reads every block bit by bit."""
+    `backend` 'strict' reads every block bit by bit. `ahead` may know a block by its place and level."""
     o = options or DecodeOptions()
     found = K.markers(data) if found is None else sorted(found)
     bits_ = [bit for bit, _ in found]
@@ -215,8 +215,10 @@ def blocks(data: bytes, options: DecodeOptions | None = None, found: list[tuple[
             mark = K.bits(data, pos, 48)
             if mark == K.END_MARK:
                 break
-            out, end = None, 0
-            if backend == "fast" and mark == K.BLOCK_MARK:
+            out, end = (ahead(pos, level) if ahead and backend == "fast" and mark == K.BLOCK_MARK else None) or (None, 0)
+            if out is not None and not tables_fit(data, pos):
+                out = None
+            elif out is None and backend == "fast" and mark == K.BLOCK_MARK:
                 k = int(np.searchsorted(bits_, pos, "right"))
                 for end in bits_[k : k + 8]:  # a false marker ends a block too early; the next one may fit
                     if (end - pos) // 8 > K.bound(level):

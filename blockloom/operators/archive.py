@@ -1,9 +1,9 @@
 """Archives as rows: members, markers, segments and blocks; parallel decoding and encoding.
 
 An archive is a row of a key column and a binary column `content`. Parallel decoding spreads
-the segments between marker candidates over the cluster, decodes each on its own, and puts them
-in order by a window; only an archive in which a segment fails goes to the sequential reader,
-which mends false markers and names defects.
+the segments between marker candidates over the cluster and decodes each on its own, numbered in
+their order; only an archive that is not regular or in which a segment fails goes to the
+sequential reader, which mends false markers and names defects.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from blockloom.functions.columns import bz2_validate, combine_expr
 from blockloom.options import DecodeOptions, EncodeOptions, parse_concurrency
 
 
-def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of about `most` bytes of binary values."""
     held: list[tuple] = []
     size = 0
@@ -39,9 +40,9 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4 << 20) -> I
         yield out()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """(key, content) of the rows, content empty where it is null."""
-    for batch in batches:
+    for batch in parts:
         for name, content in zip(batch.column(0), batch.column(1), strict=True):
             yield name.as_py(), content.as_py() or b""
 
@@ -57,8 +58,8 @@ def markers(archives: DataFrame, key: str = "path") -> DataFrame:
     """(key, bit, kind) of every marker candidate."""
     schema = pa.schema([("key", pa.string()), ("bit", pa.int64()), ("kind", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(((name, bit, kind) for name, content in _pairs(batches) for bit, kind in K.markers(content)), schema)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((name, bit, kind) for name, content in pairs(parts) for bit, kind in K.markers(content)), schema)
 
     return archives.select(F.col(key).cast("string").alias("key"), "content").mapInArrow(run, "key string, bit bigint, kind string").withColumnRenamed("key", key)
 
@@ -81,8 +82,8 @@ def blocks(archives: DataFrame, key: str = "path") -> DataFrame:
         except BlockError as e:
             yield name, e.member, e.block, None, e.bit, None, e.expected, None, e.code
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((row for pair in _pairs(batches) for row in rows(*pair)), schema)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((row for pair in pairs(parts) for row in rows(*pair)), schema)
 
     ddl = "key string, member int, block int, level int, start_bit bigint, end_bit bigint, crc bigint, raw_len bigint, error_code string"
     return archives.select(F.col(key).cast("string").alias("key"), "content").mapInArrow(run, ddl).withColumnRenamed("key", key)
@@ -137,88 +138,105 @@ def _sequential(name: str, content: bytes, options: DecodeOptions, seq: int = 0)
         yield name, seq, None, e.row()
 
 
-def decode(archives: DataFrame, key: str = "path", fake_markers: DataFrame | None = None, **options) -> DataFrame:
+WHOLE = 256 << 10  # bytes
+
+
+def decode(archives: DataFrame, key: str = "path", fake_markers: DataFrame | None = None, whole_below: int = WHOLE, **options) -> DataFrame:
     """(key, seq, bytes, error): the output of each archive in chunks, in the order of seq. Blocks before a
     defect stay; the defect is the last row. Segments between markers are decoded in parallel: a
-    task gets a segment's bytes, not the archive. `fake_markers` (key, bit, kind) join the
-    candidates, for tests of their repair."""
+    task gets segments' bytes, not the archive, and no task gathers what an archive unfolds to.
+    Archives of less than `whole_below` bytes are read by one task each, since cutting them up costs more
+    than reading them; so are those with several members, false markers or defects, which the reader
+    in sequence mends or names. Keys are distinct. Decoded segments are kept on the executors' disks,
+    so that none is decoded twice. `fake_markers` (key, bit, kind) join the candidates, for tests
+    of their repair."""
     o = DecodeOptions(**options)
     spark = archives.sparkSession
     source = archives.select(F.col(key).cast("string").alias("key"), "content")
     n = parse_concurrency(o.concurrency, spark.sparkContext.defaultParallelism)
     if n == 1 or o.max_output_bytes is not None:
+        return _in_sequence(source, o).withColumnRenamed("key", key)
+    return _parallel(source, o, n, fake_markers, whole_below).withColumnRenamed("key", key)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _batches((row for pair in _pairs(batches) for row in _sequential(*pair, o)), _DECODED)
-
-        return source.mapInArrow(run, f"key string, seq bigint, bytes binary, error {ERROR_TYPE}").withColumnRenamed("key", key)
-    return _parallel(source, o, n, fake_markers).withColumnRenamed("key", key)
 
+def _in_sequence(source: DataFrame, o: DecodeOptions) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((row for pair in pairs(parts) for row in _sequential(*pair, o)), _DECODED)
 
-WHOLE = 256 << 10  # bytes; smaller archives are read by one task each
+    return source.mapInArrow(run, f"key string, seq bigint, bytes binary, error {ERROR_TYPE}")
 
 
-def _parallel(every: DataFrame, o: DecodeOptions, n: int, fake: DataFrame | None) -> DataFrame:
-    source = every.where(f"length(content) >= {WHOLE}")
-    found = markers(source, "key")
+def _parallel(every: DataFrame, o: DecodeOptions, n: int, fake: DataFrame | None, whole_below: int) -> DataFrame:
+    large = F.expr(f"content is not null and length(content) >= {whole_below}")
+    source = every.where(large).withColumn("fake", F.lit(None).cast("array<struct<bit:bigint,kind:string>>"))
     if fake is not None:
-        found = found.union(fake.select("key", "bit", "kind")).distinct()
-    cutout = segments(found, "key").join(source.select("key", "content"), "key")
-    # a segment's own bytes, from the byte of its marker to a byte past its end
-    bytes_ = F.expr("substring(content, cast(bit div 8 + 1 as int), cast(coalesce(end_bit, bit + 80) div 8 - bit div 8 + 1 as int))")
-    level = F.expr("cast(conv(hex(substring(content, 4, 1)), 16, 10) as int) - 48")
-    whole = [F.expr("length(content)").cast("bigint").alias("n_bytes"), F.expr("substring(content, 1, 3) = unhex('425A68')").alias("headed"), F.expr("cast(conv(hex(substring(content, length(content), 1)), 16, 10) as int)").alias("last_byte")]
-    parts = cutout.select("key", "bit", "kind", "end_bit", level.alias("level"), bytes_.alias("part"), *whole)
-    tested = parts.repartition(n, "key", "bit").mapInArrow(_try_segments, "key string, bit bigint, kind string, crc bigint, out binary, good boolean, n_bytes bigint, headed boolean, last_byte int")
-    own = Window.partitionBy("key")
-    ordered = tested.withColumn("block", F.row_number().over(own.orderBy("bit"))).withColumn("n", F.count(F.lit(1)).over(own))
-    # the stream checksum: each block's turned left by the number of blocks behind it
-    ordered = ordered.withColumn("_t", ((F.col("n") - 1 - F.col("block")) % 32).cast("int"))
-    turned = F.expr("if(kind = 'block', (shiftleft(crc, _t) & 4294967295) | shiftright(crc, 32 - _t), 0L)")
-    ordered = ordered.withColumn("fold", F.bit_xor(turned).over(own)).withColumn("end", F.max("bit").over(own))
-    # one regular member is done; more members, false markers and defects are read in sequence
-    fine = F.expr(
-        "min(good) over (partition by key) and sum(if(kind = 'end', 1, 0)) over (partition by key) = 1 and min(bit) over (partition by key) = 32"
-        " and max(if(bit = end and kind = 'end' and crc = fold, 1, 0)) over (partition by key) = 1 and headed and n_bytes = (end + 87) div 8"
-        " and (last_byte & (shiftleft(1, cast(pmod(-(end + 80), 8) as int)) - 1)) = 0"
-    )
-    ordered = ordered.withColumn("fine", fine)
-    size = o.output_chunk_size
-    pieces = ordered.where("fine and kind = 'block'").withColumn("_p", F.expr(f"transform(sequence(0, greatest(0, (length(out) - 1) div {size})), i -> substring(out, cast(i * {size} + 1 as int), {size}))"))
-    fast = pieces.select("key", "block", F.posexplode("_p").alias("i", "bytes")).withColumn("seq", F.row_number().over(own.orderBy("block", "i")).cast("bigint") - 1)
-    fast = fast.select("key", "seq", "bytes", F.lit(None).cast(ERROR_TYPE).alias("error"))
-    rest = source.join(ordered.where("fine and kind = 'end'").select("key"), "key", "left_anti")
-    rest = rest.union(every.where(f"content is null or length(content) < {WHOLE}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((row for pair in _pairs(batches) for row in _sequential(*pair, o)), _DECODED)
-
-    return fast.union(rest.mapInArrow(run, f"key string, seq bigint, bytes binary, error {ERROR_TYPE}"))
-
-
-_TESTED = pa.schema([("key", pa.string()), ("bit", pa.int64()), ("kind", pa.string()), ("crc", pa.int64()), ("out", pa.binary()), ("good", pa.bool_()), ("n_bytes", pa.int64()), ("headed", pa.bool_()), ("last_byte", pa.int32())])
-
-
-def _try_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def tried(r: dict) -> tuple:
-        shift, part, out, crc = r["bit"] % 8, r["part"] or b"", None, None
-        if 8 * len(part) >= shift + 80:
-            crc = K.bits(part, shift + 48, 32)
-        if r["kind"] == "block" and r["end_bit"] is not None and 1 <= (r["level"] or 0) <= 9:
-            end = r["end_bit"] - r["bit"] + shift
-            if end - shift <= 8 * K.bound(r["level"]):
-                out = K.decode_block(part, shift, end, r["level"])
-                if out is not None and not strict.tables_fit(part, shift):
-                    out = None
-        return r["key"], r["bit"], r["kind"], crc, out, out is not None or r["kind"] == "end" and crc is not None, r["n_bytes"], r["headed"], r["last_byte"]
-
-    yield from _batches((tried(r) for batch in batches for r in batch.to_pylist()), _TESTED)
+        listed = fake.groupBy("key").agg(F.collect_list(F.struct(F.col("bit").cast("bigint").alias("bit"), "kind")).alias("fake"))
+        source = source.drop("fake").join(listed, "key", "left")
+    segments_ = source.select("key", "content", "fake").mapInArrow(_regular_segments, "key string, block int, level int, shift int, n_bits bigint, part binary")
+    decoded = segments_.repartition(n, "key", "block").mapInArrow(_decode_segments(o.output_chunk_size), "key string, seq bigint, bytes binary, bad boolean")
+    decoded = decoded.persist(StorageLevel.DISK_ONLY)
+    bad = decoded.where("bad").select("key").distinct()
+    fast = decoded.where("not bad").join(bad, "key", "left_anti").select("key", "seq", "bytes", F.lit(None).cast(ERROR_TYPE).alias("error"))
+    rest = source.select("key", "content").join(bad, "key", "left_semi").union(every.where(~large | F.col("content").isNull()))
+    return fast.union(_in_sequence(rest, o))
+
+
+_SEGMENTS = pa.schema([("key", pa.string()), ("block", pa.int32()), ("level", pa.int32()), ("shift", pa.int32()), ("n_bits", pa.int64()), ("part", pa.binary())])
+_CHUNKS = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("bytes", pa.binary()), ("bad", pa.bool_())])
+
+
+def regular(content: bytes, found: list[tuple[int, str]]) -> bool:
+    """Whether markers and checksums are those of one member and nothing else, by what the archive says; no
+    block is decoded for it. A false marker would have to repair the stream's checksum by chance."""
+    if len(content) < 14 or content[:3] != K.MAGIC or not 49 <= content[3] <= 57:
+        return False
+    end, kind = found[-1] if found else (0, "")
+    if kind != "end" or found[0][0] != 32 or any(k == "end" for _, k in found[:-1]) or len(content) != (end + 87) // 8:
+        return False
+    if K.bits(content, end + 80, 8 * len(content) - end - 80):
+        return False
+    return K.fold(K.bits(content, bit + 48, 32) for bit, _ in found[:-1]) == K.bits(content, end + 48, 32)
+
+
+def _regular_segments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of regular archives; one row without bytes for each of the others."""
+
+    def cut() -> Iterator[tuple]:
+        for batch in parts:
+            for name, value, fake in zip(*batch.columns, strict=True):
+                content = value.as_py() or b""
+                found = sorted({*K.markers(content), *((f["bit"], f["kind"]) for f in fake.as_py() or ())})
+                if not regular(content, found):
+                    yield name.as_py(), -1, 0, 0, 0, None
+                    continue
+                for i, ((bit, _), (end, _)) in enumerate(zip(found, found[1:], strict=False)):
+                    yield name.as_py(), i, content[3] - 48, bit % 8, end - bit, content[bit // 8 : end // 8 + 1]
+
+    yield from batches(cut(), _SEGMENTS)
+
+
+def _decode_segments(size: int):
+    def decoded(r: dict) -> Iterator[tuple]:
+        out, shift, part = None, r["shift"], r["part"]
+        if part is not None and r["n_bits"] <= 8 * K.bound(r["level"]):
+            out = K.decode_block(part, shift, shift + r["n_bits"], r["level"])
+        if out is None or not strict.tables_fit(part, shift):
+            yield r["key"], None, None, True
+            return
+        for i, chunk in enumerate(K.chunks(out, size)):
+            yield r["key"], (r["block"] << 32) + i, chunk, False
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((row for batch in parts for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist() for row in decoded(r)), _CHUNKS)
+
+    return run
 
 
 def assemble(chunks: DataFrame, key: str = "path", seq: str = "seq", data: str = "bytes") -> DataFrame:
-    """One value per key: its chunks joined in order."""
-    listed = F.expr(f"transform(array_sort(collect_list(struct({seq}, {data}))), x -> x.{data})")
-    return chunks.groupBy(key).agg(listed.alias("_p")).select(key, F.expr("aggregate(_p, cast('' as binary), (a, b) -> concat(a, b))").alias("content"))
+    """One value per key: its chunks joined in order. A value, like any in Spark, holds 2 GB at most; what is
+    longer is best left in chunks, sorted by key and seq."""
+    whole = F.expr(f"listagg({data}) within group (order by {seq})")
+    return chunks.groupBy(key).agg(F.coalesce(whole, F.expr("cast('' as binary)")).alias("content"))
 
 
 def encode(raw: DataFrame, key: str = "path", level: int = 9, concurrency: int | str = "auto") -> DataFrame:
@@ -245,8 +263,8 @@ def encode(raw: DataFrame, key: str = "path", level: int = 9, concurrency: int |
 def _encode_whole(level: int):
     schema = pa.schema([("key", pa.string()), ("content", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(((name, K.compress(content, level)) for name, content in _pairs(batches)), schema)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((name, K.compress(content, level)) for name, content in pairs(parts)), schema)
 
     return run
 
@@ -257,8 +275,8 @@ def _encode_slices(level: int):
     def coded(r: dict) -> tuple:
         return (r["key"], r["seq"], *(K.encode_block(r["part"], level) if r["part"] else (b"", 0, 0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((coded(r) for batch in batches for r in batch.to_pylist()), schema)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((coded(r) for batch in parts for r in batch.to_pylist()), schema)
 
     return run
 

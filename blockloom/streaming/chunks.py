@@ -19,6 +19,8 @@ from blockloom.functions import kernels as K
 from blockloom.functions import strict
 from blockloom.options import DecodeOptions, EncodeOptions
 
+MOST_EARLY = 100_000  # chunks that wait for an earlier one, at most
+
 
 class StreamDecoder:
     """Decodes an archive pushed in pieces. A block is decoded when the marker behind it has come, so
@@ -27,15 +29,15 @@ class StreamDecoder:
 
     def __init__(self, options: DecodeOptions | None = None) -> None:
         self.o = options or DecodeOptions()
-        self.buffer, self.pos, self.base = b"", 0, 0
+        self.buffer, self.pos, self.base = bytearray(), 0, 0
         self.state, self.level = "header", 0
         self.member = self.block = self.crc = self.total = 0
         self.error: BlockError | None = None
         self.scanned = 0
 
     def push(self, data: bytes) -> list[bytes]:
-        if self.state == "finished":
-            raise BlockError("INVALID_STATE", "the stream was finished")
+        if self.state in ("finished", "cancelled"):
+            raise BlockError("INVALID_STATE", f"the stream was {self.state}")
         if self.state in ("failed", "ignoring"):
             return []
         self.buffer += data
@@ -45,13 +47,17 @@ class StreamDecoder:
         """Decodes the rest. Calling it again after success does nothing."""
         if self.state == "finished":
             return []
-        if self.error:
-            raise BlockError("INVALID_STATE", "the stream has failed")
+        if self.error or self.state == "cancelled":
+            raise BlockError("INVALID_STATE", "the stream has failed or was cancelled")
         out = self._run(True) if self.state != "ignoring" else []
         if not self.error:
             self.state = "finished"
         return out
 
+    def cancel(self) -> None:
+        """Gives up: what is held is dropped, and pushing or finishing is an error from now on."""
+        self.state, self.buffer = "cancelled", bytearray()
+
     def _run(self, last: bool) -> list[bytes]:
         out: list[bytes] = []
         try:
@@ -60,13 +66,14 @@ class StreamDecoder:
         except BlockError as e:
             if e.bit is not None:
                 e.bit += self.base
-            self.error, self.state, self.buffer = e, "failed", b""
+            self.error, self.state, self.buffer = e, "failed", bytearray()
         return [c for b in out for c in K.chunks(b, self.o.output_chunk_size)]
 
     def _drop(self) -> None:
         whole = self.pos // 8
         if whole:
-            self.buffer, self.pos, self.base, self.scanned = self.buffer[whole:], self.pos % 8, self.base + 8 * whole, max(0, self.scanned - whole)
+            del self.buffer[:whole]  # the rest is not copied
+            self.pos, self.base, self.scanned = self.pos % 8, self.base + 8 * whole, max(0, self.scanned - whole)
 
     def _step(self, out: list[bytes], last: bool) -> bool:
         if self.state == "header":
@@ -76,7 +83,7 @@ class StreamDecoder:
             level = strict._header(self.buffer, 0, self.member, self.o)
             if level is None:
                 self.state = "ignoring" if self.buffer else "header"
-                self.buffer = b""
+                self.buffer = bytearray()
                 return False
             self.level, self.pos, self.crc, self.block, self.state = level, 32, 0, 0, "blocks"
             self._drop()
@@ -177,6 +184,10 @@ class StreamEncoder:
         self.raw += bytes(data)
         return K.chunks(self._encode(False), self.o.output_chunk_size)
 
+    def cancel(self) -> None:
+        """Gives up: what is held is dropped, and pushing is an error from now on."""
+        self.done, self.raw = True, b""
+
     def finish(self) -> list[bytes]:
         if self.done:
             return []
@@ -185,52 +196,74 @@ class StreamEncoder:
 
 
 class _Ordered:
-    """A machine with its chunks brought into order."""
+    """A machine with its chunks brought into order. Once it has ended only its place is kept."""
 
-    def __init__(self, machine) -> None:
-        self.machine, self.next, self.early, self.sent = machine, 0, {}, 0
+    def __init__(self, machine, most_early: int) -> None:
+        self.machine, self.next, self.early, self.sent, self.most_early = machine, 0, {}, 0, most_early
+
+    def _row(self, chunk: bytes | None, error: BlockError | None = None) -> tuple[int, bytes | None, dict | None]:
+        self.sent += 1
+        return self.sent - 1, chunk, error and error.row()
+
+    def _end(self) -> None:
+        self.machine, self.early = None, {}
 
     def feed(self, rows: pd.DataFrame) -> Iterator[tuple[int, bytes | None, dict | None]]:
         for seq, data, last in zip(rows["seq"], rows["bytes"], rows["is_last"], strict=True):
-            if seq >= self.next:
+            if self.machine is not None and seq >= self.next:
                 self.early[int(seq)] = (bytes(data) if data is not None else b"", bool(last))
-        while self.next in self.early:
+        while self.machine is not None and self.next in self.early:
             data, last = self.early.pop(self.next)
             self.next += 1
-            failed = getattr(self.machine, "error", None)
-            if failed or getattr(self.machine, "state", "") == "finished" or getattr(self.machine, "done", False):
-                continue
             out = self.machine.push(data)
             if last and not getattr(self.machine, "error", None):
                 out += self.machine.finish()
             for chunk in out:
-                yield self.sent, chunk, None
-                self.sent += 1
-            if getattr(self.machine, "error", None):
-                yield self.sent, None, self.machine.error.row()
-                self.sent += 1
-
-
-def _stateful(rows: DataFrame, key: str, make) -> DataFrame:
+                yield self._row(chunk)
+            error = getattr(self.machine, "error", None)
+            if error:
+                yield self._row(None, error)
+            if error or last:
+                self._end()
+        if len(self.early) > self.most_early:
+            yield self._row(None, BlockError("INVALID_STATE", f"more than {self.most_early} chunks came before chunk {self.next}"))
+            self._end()
+
+    def expire(self) -> Iterator[tuple[int, bytes | None, dict | None]]:
+        if self.machine is not None:
+            yield self._row(None, BlockError("UNEXPECTED_EOF", f"chunk {self.next} did not come in time"))
+
+
+def _stateful(rows: DataFrame, key: str, make, most_early: int, timeout_ms: int | None) -> DataFrame:
     out = f"{key} string, seq bigint, bytes binary, error {ERROR_TYPE}"
 
     def run(name, parts, state):
-        ordered = pickle.loads(bytes(state.get[0])) if state.exists else _Ordered(make())
-        found = [(name[0], *r) for part in parts for r in ordered.feed(part)]
-        state.update((pickle.dumps(ordered),))
+        ordered = pickle.loads(bytes(state.get[0])) if state.exists else _Ordered(make(), most_early)
+        if state.hasTimedOut:
+            found = [(name[0], *r) for r in ordered.expire()]
+            state.remove()
+        else:
+            found = [(name[0], *r) for part in parts for r in ordered.feed(part)]
+            state.update((pickle.dumps(ordered),))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(found, columns=[key, "seq", "bytes", "error"])
 
     source = rows.selectExpr(f"cast({key} as string) as {key}", "cast(seq as bigint) as seq", "bytes", "is_last")
-    return source.groupBy(key).applyInPandasWithState(run, out, "machine binary", "append", GroupStateTimeout.NoTimeout)
+    wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return source.groupBy(key).applyInPandasWithState(run, out, "machine binary", "append", wait)
 
 
-def decode(rows: DataFrame, key: str = "stream_id", **options) -> DataFrame:
-    """Streaming rows (key, seq, bytes, is_last) of archives to rows (key, seq, bytes, error)."""
+def decode(rows: DataFrame, key: str = "stream_id", most_early: int = MOST_EARLY, timeout_ms: int | None = None, **options) -> DataFrame:
+    """Streaming rows (key, seq, bytes, is_last) of archives to rows (key, seq, bytes, error). Of a stream that
+    has ended only its place is kept, so that late copies of chunks do nothing. With `timeout_ms` a
+    stream that rests for so long ends with UNEXPECTED_EOF, if it had not ended, and leaves the state.
+    More than `most_early` chunks ahead of a missing one end it with INVALID_STATE."""
     chosen = DecodeOptions(**options)
-    return _stateful(rows, key, lambda: StreamDecoder(chosen))
+    return _stateful(rows, key, lambda: StreamDecoder(chosen), most_early, timeout_ms)
 
 
-def encode(rows: DataFrame, key: str = "stream_id", **options) -> DataFrame:
-    """Streaming rows (key, seq, bytes, is_last) of raw bytes to rows of archives."""
+def encode(rows: DataFrame, key: str = "stream_id", most_early: int = MOST_EARLY, timeout_ms: int | None = None, **options) -> DataFrame:
+    """Streaming rows (key, seq, bytes, is_last) of raw bytes to rows of archives; state as in `decode`."""
     chosen = EncodeOptions(**options)
-    return _stateful(rows, key, lambda: StreamEncoder(chosen))
+    return _stateful(rows, key, lambda: StreamEncoder(chosen), most_early, timeout_ms)

@@ -43,12 +43,12 @@ def test_encoding_does_not_depend_on_tasks(spark, raw, packed):
         assert bz2.decompress(packed[k]) == v and packed[k] == K.compress(v, 1)
 
 
-@pytest.mark.parametrize("concurrency", [1, 3])
-def test_decode(spark, raw, packed, concurrency):
+@pytest.mark.parametrize(("concurrency", "whole"), [(1, 0), (3, 0), (3, 1 << 18)])
+def test_decode(spark, raw, packed, concurrency, whole):
     bad = bytearray(packed["big"])
     bad[-500] ^= 4
     every = {**packed, "bad": bytes(bad), "two": packed["text"] + packed["big"]}
-    rows = A.decode(frame(spark, every), concurrency=concurrency).collect()
+    rows = A.decode(frame(spark, every), concurrency=concurrency, whole_below=whole).collect()
     out = joined(rows)
     assert out["big"] == raw["big"] and out["text"] == raw["text"] and out["two"] == raw["text"] + raw["big"]
     assert [(r.path, r.error.code) for r in rows if r.error] == [("bad", "BLOCK_CRC_MISMATCH")]
@@ -57,7 +57,30 @@ def test_decode(spark, raw, packed, concurrency):
 
 def test_false_markers_are_mended(spark, raw, packed):
     fake = spark.createDataFrame([("big", 8 * 3000 + 5, "block"), ("big", 8 * (len(packed["big"]) - 40) + 1, "end")], "key string, bit bigint, kind string")
-    assert joined(A.decode(frame(spark, {"big": packed["big"]}), concurrency=3, fake_markers=fake).collect())["big"] == raw["big"]
+    assert joined(A.decode(frame(spark, {"big": packed["big"]}), concurrency=3, fake_markers=fake, whole_below=0).collect())["big"] == raw["big"]
+
+
+def test_regular_archives(packed):
+    good = packed["big"]
+    found = K.markers(good)
+    assert A.regular(good, found) and A.regular(packed["empty"], K.markers(packed["empty"]))
+    flip = lambda at: good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :]
+    for bad in (good + b"x", good[:-1], good * 2, flip(0), flip(10), b"", b"BZh9"):
+        assert not A.regular(bad, K.markers(bad))
+    assert not A.regular(good, sorted([*found, (8 * 3000 + 5, "block")]))
+
+
+def test_defects_in_parallel_and_in_sequence(spark, packed):
+    """Wherever a bit is flipped, the parallel reader gives what the one in sequence gives."""
+    rnd = random.Random(12)
+    damaged = {}
+    for k in range(24):
+        data = bytearray(packed["big"])
+        data[rnd.choice([0, 3, 4, 10, 20, len(data) - 3, len(data) - 10, rnd.randrange(len(data))])] ^= 1 << rnd.randrange(8)
+        damaged[f"d{k}"] = bytes(data)
+    key = lambda rows: sorted((r.path, r.error and (r.error.code, r.error.member, r.error.block, r.error.byte_offset), joined(rows).get(r.path)) for r in rows if r.error)
+    a, b = (A.decode(frame(spark, damaged), concurrency=c, whole_below=0).collect() for c in (1, 3))
+    assert key(a) == key(b) and len(key(a)) >= 20
 
 
 def test_validate_modes(spark, packed):
@@ -101,12 +124,40 @@ def test_ranges_report_a_defective_block(spark, packed, tmp_path):
     read = spark.read.format("bz2strict").option("splitBytes", 50_000)
     with pytest.raises(Exception, match="the block at bit"):
         read.load(str(tmp_path / "hurt.bz2")).collect()
-    assert read.option("mode", "PERMISSIVE").load(str(tmp_path / "hurt.bz2")).count() == len(blocks) - 1
+    lenient = read.option("mode", "PERMISSIVE").load(str(tmp_path / "hurt.bz2")).collect()
+    assert len(lenient) == len(blocks) and [r.start_bit for r in lenient if r.error] == [blocks[1]]
+    assert read.option("mode", "DROPMALFORMED").load(str(tmp_path / "hurt.bz2")).count() == len(blocks) - 1
+
+
+def test_modes_of_whole_files(spark, raw, packed, tmp_path):
+    """Of a damaged file: the good blocks and the defect's code, nothing, or an error; by both ways to read."""
+    source.register(spark)
+    (tmp_path / "a.bz2").write_bytes(packed["big"])
+    (tmp_path / "b.bz2").write_bytes(packed["text"] + packed["big"][:-1])
+    n = sum(kind == "block" for _, kind in K.markers(packed["big"]))
+    ways = [lambda mode: spark.read.format("bz2strict").option("mode", mode).load(str(tmp_path)), lambda mode: source.read(spark, str(tmp_path / "*.bz2"), mode)]
+    for way in ways:
+        rows = way("PERMISSIVE").collect()
+        assert [r.error for r in rows if r.error] == ["UNEXPECTED_EOF"] and len(rows) == 2 * n + 2
+        assert {os.path.basename(r.path) for r in way("DROPMALFORMED").collect()} == {"a.bz2"} and way("DROPMALFORMED").count() == n
+        with pytest.raises(Exception, match="UNEXPECTED_EOF"):
+            way("FAILFAST").collect()
+    with pytest.raises(ValueError):
+        source.read(spark, str(tmp_path), "LENIENT")
+
+
+def test_overwrite_replaces_a_folder(spark, raw, tmp_path):
+    source.register(spark)
+    out = str(tmp_path / "out")
+    for text in ("one", "two"):
+        rows = spark.createDataFrame([(bytearray(text.encode()),)], "content binary").selectExpr("'' path", "0 member", "0 block", "0L start_bit", "0L crc", "content", "'' error")
+        rows.coalesce(1).write.format("bz2strict").mode("overwrite").option("path", out).save()
+    assert [bz2.decompress(open(os.path.join(out, f), "rb").read()) for f in os.listdir(out)] == [b"two"] and os.listdir(tmp_path) == ["out"]
 
 
 def test_sink(spark, raw, tmp_path):
     source.register(spark)
-    rows = frame(spark, {"a": raw["text"]}).selectExpr("path", "cast(null as int) member", "cast(null as int) block", "0L start_bit", "0L crc", "content")
+    rows = frame(spark, {"a": raw["text"]}).selectExpr("path", "cast(null as int) member", "cast(null as int) block", "0L start_bit", "0L crc", "content", "cast(null as string) error")
     out = str(tmp_path / "out")
     rows.coalesce(1).write.format("bz2strict").mode("append").option("path", out).save()
     files = [f for f in os.listdir(out) if f.endswith(".bz2")]
@@ -155,7 +206,14 @@ def test_command_line(tmp_path):
     assert run("decompress", str(packed), "-o", str(back)).returncode == 1
     assert run("decompress", str(packed), "-o", str(back), "-f").returncode == 0
     assert run("decompress", str(packed), "-o", str(packed), "-f").returncode == 2
-    assert run("compress", "--no-such").returncode == 2
+    assert run("compress", "--no-such").returncode == 2 and run("--version").stdout.startswith(b"blockloom ")
+    for extra in (("--backend", "strict"), ("--concurrency", "3"), ()):
+        made = run("compress", "-", "-b", "2", *extra, input=plain.read_bytes()).stdout
+        assert bz2.decompress(made) == plain.read_bytes()
+        assert run("decompress", "-", *extra, input=made * 2).stdout == plain.read_bytes() * 2
+        assert run("test", "-", *extra, input=made[:-1]).returncode == 1
+    said = run("decompress", "--concurrency", "2", "--max-output-bytes", "9", input=bz2.compress(b"x" * 9))
+    assert said.stdout == b"x" * 9 and b"no effect" in said.stderr
     packed.write_bytes(packed.read_bytes()[:-1])
     assert run("test", str(packed)).returncode == 1
     assert run("decompress", input=bz2.compress(b"x")).stdout == b"x"
