@@ -35,10 +35,9 @@ def symbol_map(rows: DataFrame, key: str, text: str) -> DataFrame:
 def runs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, sym, length): runs of equal characters, cut after RUN of them."""
     at = positions(rows, key, text)
-    all_, same = Window.partitionBy(key).orderBy("pos"), Window.partitionBy(key, "sym").orderBy("pos")
+    same = Window.partitionBy(key, "sym").orderBy("pos")
     island = at.withColumn("island", F.col("pos") - F.row_number().over(same))
     part = island.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(key, "sym", "island").orderBy("pos")) - 1) / RUN))
-    del all_
     return part.groupBy(key, "sym", "island", "part").agg(F.min("pos").cast("bigint").alias("start"), F.count(F.lit(1)).alias("length")).select(key, "start", "sym", "length")
 
 
@@ -117,7 +116,7 @@ def kraft(lengths: DataFrame, key: str) -> DataFrame:
 def group_costs(symbols: DataFrame, key: str, tables: DataFrame, size: int = 50) -> DataFrame:
     """(key, grp, tab, cost): cheapest table of each group of 50 symbols, lowest number on a tie.
     `symbols` has key, pos, sym; `tables` (tab, sym, len) is at most six tables of 258 lengths."""
-    cost = symbols.withColumn("grp", F.floor(F.col("pos") / size)).join(F.broadcast(tables), "sym").groupBy(key, "grp", "tab").agg(F.sum("len").cast("bigint").alias("cost"))
+    cost = symbols.withColumn("grp", F.floor(F.col("pos") / size)).join(tables, "sym").groupBy(key, "grp", "tab").agg(F.sum("len").cast("bigint").alias("cost"))
     return cost.groupBy(key, "grp").agg(F.min(F.struct("cost", "tab")).alias("m")).select(key, "grp", "m.tab", "m.cost")
 
 

@@ -12,8 +12,9 @@ def median(column: str) -> Column:
 
 
 def upper_median(column: str) -> Column:
-    """Element floor(n / 2) of the sorted values."""
-    return F.expr(f"element_at(array_sort(collect_list({column})), cast(floor(count({column}) / 2) as int) + 1)")
+    """Element floor(n / 2) of the sorted values: counted from above, the first that half of them reach. Values are
+    counted in parts before the shuffle and never listed."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {column} desc)")
 
 
 def percentiles(column: str, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> list[Column]:

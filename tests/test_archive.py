@@ -218,3 +218,21 @@ def test_command_line(tmp_path):
     assert run("test", str(packed)).returncode == 1
     assert run("decompress", input=bz2.compress(b"x")).stdout == b"x"
     assert sorted(os.listdir(tmp_path)) == ["a", "a.bz2", "b"]
+
+
+def test_trials(spark, tmp_path):
+    from blockloom import trials as T
+
+    assert [n for _, n in T.rotated(["a", "b", "c"], 3)] == ["a", "b", "c", "b", "c", "a", "c", "a", "b"]
+    text = T.corpus()["text"][:5000]
+    assert T.corpus() == T.corpus()
+    rows = T.run(spark, {"pack": [*T.CODER, "compress", "-b", "1"], "wrong": [*T.CODER, "decompress"]}, text, rounds=2)
+    got = {(r.name, r.round): r for r in rows.collect()}
+    assert len(got) == 4 and got["pack", 0].sha256 == got["pack", 1].sha256 and got["pack", 0].output_bytes < 5000 and got["pack", 1].peak_kb > 1000
+    assert {r.status for (n, _), r in got.items() if n == "wrong"} == {1}
+    assert [(r.name, r.same_sha256) for r in T.summarised(rows).collect()] == [("pack", True)]
+    assert T.trial([sys.executable, "-c", "import time; time.sleep(60)"], b"", timeout=1)["status"] < 0
+    report = str(tmp_path / "report.json")
+    for key, value in (("CPU a", {"x": 1}), ("other", {"x": 2}), ("cpu A", {"x": 3})):
+        T.save(report, key, value)
+    assert __import__("json").load(open(report)) == {"cpu A": {"x": 3}, "other": {"x": 2}}
