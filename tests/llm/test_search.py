@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline as pipeline
 from blockloom.llm import ball_tree as B
@@ -65,6 +66,23 @@ def test_tree_bounds_hold():
         assert (v[order[lo:hi]] @ q).max() <= q @ c + np.sqrt((q * q).sum()) * r + 1e-6
 
 
+def simhash_brute(t):
+    w = "".join(chr(ord(c) | 32) if "A" <= c <= "Z" else c for c in t).encode().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x, seed=42) for x in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score double, _key string")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and out.columns == none.columns
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on its own input, then all together."""
     rnd = random.Random(3)
@@ -97,4 +115,25 @@ def test_pipeline(spark, tmp_path):
     private = {r.doc_id: r for r in stages["pseudonyms"](spark, docs, str(tmp_path)).collect()}
     assert "4041894974608795" not in private[401].text and private[1].text == rows[1][1] and len(private) == len(rows)
     packed = pipeline.run(spark, str(tmp_path)).collect()
+    # all stages behind the classifier against brute force
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from blockloom.llm.pseudonyms import pseudonymise
+
+    stay = {}
+    for i, t in sorted((r.doc_id, r.text or "") for r in clean.collect()):
+        stay.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t))
+    left_ids = sorted(stay.values())
+    prints = {i: simhash_brute(t) for i, t in left_ids}
+    root = {i: i for i in prints}
+    for _ in prints:
+        root = {i: min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
+    want = {i for i in prints if root[i] == i}
+    texts = {r.doc_id: r.text or "" for r in pseudonymise(docs).collect()}
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id for r in packed} == want
+    assert {r.doc_id: r.doc_tokens for r in packed} == {i: len(lib.encode(texts[i], add_special_tokens=False).ids) + 1 for i in want}
     assert {401, 402} <= {r.doc_id for r in packed} and 400 not in {r.doc_id for r in packed}
