@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> None:
-    """The session's checkpoint folder; one of our own only where the cluster names none."""
+    """The session's checkpoint folder; one of our own only in local mode, where all share one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="blockloom-"))
 
 
