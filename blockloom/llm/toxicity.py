@@ -134,12 +134,15 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict[int, float]:
     """Weights by feature (the bias under -1), fitted on the `sample` labelled rows of lowest hashed
     id among those whose crc32(id as text) mod 3 isn't 1 and whose text has at most SAMPLE_CHARS
-    characters. An id with several labels counts as toxic if one says so."""
+    characters. An id with several labels counts as toxic if one says so; of several texts of an id the
+    least is fitted. Null ids, labels and texts are not fitted; without rows of both labels every
+    score is that of the bias -8."""
     marks = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     marks = marks.where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # ids are distinct: bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.col(text_col)).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    met = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row an id
+    rows = met.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
     fitted = rows.coalesce(64).repartition(1).mapInArrow(_fit_task, "feature bigint, weight double")
     return {-1: -8.0} | {r.feature: r.weight for r in fitted.collect()}  # at most FEATURES and the identity terms
 
