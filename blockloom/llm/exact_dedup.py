@@ -25,7 +25,6 @@ BASES = (1_103_515_245, 1_664_525)
 CHUNK = 1 << 14  # bytes hashed at once; 255 * 2^31 * 2^14 fits in 64 bits
 COMPARED = 1 << 18  # bytes compared at once
 LONG = 4 << 20  # bytes; longer texts are hashed in chunks of this size, in tasks of their own
-_NONE = -(2**63)  # stands for a null id in joins
 LARGE = 256  # rows from which a class is dealt out in parts
 SALTS = 16  # parts in which one class of copies is dealt out
 
@@ -187,13 +186,15 @@ def _mismatches(source: DataFrame, marked: DataFrame, repeated: DataFrame) -> Da
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
     listed = marked.select("doc_id", "sha", "level", *_KEY, salt).join(_salted(repeated), [*_KEY, "level", "salt"])
     salts = F.when(F.col("group_size") > LARGE, SALTS).otherwise(1).alias("salts")
-    wanted = listed.select(F.coalesce("doc_id", F.lit(_NONE)).alias("who"), "sha", *_KEY, salts, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")).distinct()
-    wanted = keep(wanted, "wanted")  # as a table of known size, so that a small one keeps the texts from being shuffled
-    bodies = source.select(F.coalesce("doc_id", F.lit(_NONE)).alias("who"), F.expr(f"cast({_NORMALISED} as binary)").alias("body"))
-    members = bodies.withColumn("sha", F.unhex(F.sha2("body", 256))).join(wanted, ["who", "sha"])
+    # one row a text, however many copies it has: a table that Spark broadcasts while it is small, so that
+    # texts are then not shuffled at all
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays")
+    wanted = keep(listed.groupBy("sha", *_KEY, salts).agg(stays), "wanted")
+    bodies = source.select("doc_id", F.expr(f"cast({_NORMALISED} as binary)").alias("body"))
+    members = bodies.withColumn("sha", F.unhex(F.sha2("body", 256))).join(wanted, "sha")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("body") - 1) / COMPARED)).cast("int")))
-    members = members.withColumn("chunk", at).select("who", "sha", *_KEY, "salts", "stays", "chunk", F.expr(f"substring(body, chunk * {COMPARED} + 1, {COMPARED})").alias("part"))
-    members = keep(members, "members").withColumn("salt", F.pmod(F.xxhash64("who", "sha"), "salts").cast("int"))
+    salt = F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt")
+    members = keep(members.withColumn("chunk", at).select("sha", *_KEY, "salts", salt, "stays", "chunk", F.expr(f"substring(body, chunk * {COMPARED} + 1, {COMPARED})").alias("part")), "members")
     # of a class without ids, and of texts that share the id that stays, the one of the least hash is compared with
     keeper = members.where("stays").groupBy(*_KEY, "salts", "chunk").agg(F.min(F.struct("sha", "part")).alias("k"))
     keeper = keeper.select(*_KEY, "chunk", F.col("k.part").alias("kept_part"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
