@@ -186,19 +186,18 @@ def _mismatches(source: DataFrame, marked: DataFrame, repeated: DataFrame) -> Da
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
     listed = marked.select("doc_id", "sha", "level", *_KEY, salt).join(_salted(repeated), [*_KEY, "level", "salt"])
     salts = F.when(F.col("group_size") > LARGE, SALTS).otherwise(1).alias("salts")
-    # one row a text, however many copies it has: a table that Spark broadcasts while it is small, so that
-    # texts are then not shuffled at all
+    # one row a text, however many copies it has; the plan is that of large tables also where they are small
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays")
     wanted = keep(listed.groupBy("sha", *_KEY, salts).agg(stays), "wanted")
     bodies = source.select("doc_id", F.expr(f"cast({_NORMALISED} as binary)").alias("body"))
-    members = bodies.withColumn("sha", F.unhex(F.sha2("body", 256))).join(wanted, "sha")
+    members = bodies.withColumn("sha", F.unhex(F.sha2("body", 256))).join(wanted.hint("merge"), "sha")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("body") - 1) / COMPARED)).cast("int")))
     salt = F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt")
     members = keep(members.withColumn("chunk", at).select("sha", *_KEY, "salts", salt, "stays", "chunk", F.expr(f"substring(body, chunk * {COMPARED} + 1, {COMPARED})").alias("part")), "members")
     # of a class without ids, and of texts that share the id that stays, the one of the least hash is compared with
     keeper = members.where("stays").groupBy(*_KEY, "salts", "chunk").agg(F.min(F.struct("sha", "part")).alias("k"))
     keeper = keeper.select(*_KEY, "chunk", F.col("k.part").alias("kept_part"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    differ = members.join(keeper, [*_KEY, "chunk", "salt"]).where(F.col("part") != F.col("kept_part"))
+    differ = members.join(keeper.hint("merge"), [*_KEY, "chunk", "salt"]).where(F.col("part") != F.col("kept_part"))
     differ = cut(differ.select(*_KEY, "sha").distinct())
     return None if differ.isEmpty() else differ
 
