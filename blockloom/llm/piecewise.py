@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 
 class PieceCache:
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 350_000, longest: int = 64) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.new: dict = {}
         self.old: dict = {}

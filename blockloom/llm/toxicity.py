@@ -70,14 +70,15 @@ def fit(texts: list[str], toxic: np.ndarray, strength: float = 1.0, steps: int =
         keys.append(np.unique((doc + lo) << BITS | feature))
     doc, feature = (k := np.concatenate(keys)) >> BITS, k & ((1 << BITS) - 1)
     is_toxic = toxic.astype(bool)
-    hit = np.bincount(feature[is_toxic[doc]], minlength=1 << BITS).astype(float)
-    miss = np.bincount(feature[~is_toxic[doc]], minlength=1 << BITS).astype(float)
+    hit = np.bincount(feature[is_toxic[doc]], minlength=1 << BITS)
+    some = np.flatnonzero(hit >= 3)  # all that follows is on these alone, as the whole space is large
+    miss = np.bincount(feature[~is_toxic[doc]], minlength=1 << BITS)[some].astype(float)
+    hit = hit[some].astype(float)
     p, q = is_toxic.sum(), n - is_toxic.sum()
     odds = np.log((hit + 0.5) / (p - hit + 0.5)) - np.log((miss + 0.5) / (q - miss + 0.5))
     sure = odds / np.sqrt(1 / (hit + 0.5) + 1 / (miss + 0.5) + 1 / (p - hit + 0.5) + 1 / (q - miss + 0.5))
-    sure[hit < 3] = -np.inf
     best = np.argsort(-sure, kind="stable")[:FEATURES]
-    best = best[sure[best] > 2.5]
+    best = some[best[sure[best] > 2.5]]
     pairs = [(a, b) for row in IDENTITY for a in row for b in row if a != b]
     own = {t: term_features(t) for t in {t for pair in pairs for t in pair}}
     chosen = np.unique(np.concatenate([best, *own.values()]))
