@@ -305,3 +305,21 @@ def test_fuzzy_lines_recall(docs):
     assert not any(m and not s for m, s in zip(met, similar, strict=True))
     assert sum(m for m, s in zip(met, similar, strict=True) if s) >= 0.97 * sum(similar)
     assert sum(met[i] for i in short) >= 0.95 * len(short)
+
+
+def test_edit_check_against_brute_force(spark):
+    """Lines of all lengths, with edits up to the bound and beyond, also in nearly every word."""
+    rnd = random.Random(12)
+    pairs = [("", ""), ("abcd", "abce"), ("abcde", "abcdf"), ("x" * 300, "x" * 240), ("x" * 300, "x" * 239)]
+    for n in (2, 9, 15, 40, 60, 400):
+        for k in range(8):
+            w = text(rnd, n).split()
+            v = [x + "!" if k % 4 == 0 else "other" if rnd.random() < k / 24 else x for x in w]
+            if k % 4 == 1:
+                v = v[n // 3 :] + v[: n // 3]
+            pairs.append((" ".join(w), " ".join(v)))
+    pairs += [("thor " * 500 + "a b", "thor " * 480 + "thore " * 20 + "b a")]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    out = df.selectExpr("x", "y", L._similar("x", "y", 0.8) + " as met").collect()
+    right = [edit(r.x, r.y) <= int(0.2 * max(len(r.x), len(r.y)) + 1e-9) for r in out]
+    assert [r.met for r in out] == right and 10 < sum(right) < len(right) - 5
