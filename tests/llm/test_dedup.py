@@ -323,3 +323,26 @@ def test_edit_check_against_brute_force(spark):
     out = df.selectExpr("x", "y", L._similar("x", "y", 0.8) + " as met").collect()
     right = [edit(r.x, r.y) <= int(0.2 * max(len(r.x), len(r.y)) + 1e-9) for r in out]
     assert [r.met for r in out] == right and 10 < sum(right) < len(right) - 5
+
+
+def test_fuzzy_lines_keys(docs):
+    """All similar pairs of fewer than 20 characters are met, and long ones whose words all get punctuation or
+    lose three of the four longest."""
+    rnd = random.Random(13)
+    pairs = [("and ornd.", "and!! ornd."), ("eding enin.", "eding in."), ("a b c d e", "a b c d f"), ("abcd", "abcde")]
+    for k in range(150):
+        a = "".join(rnd.choice("abcdefgh ij") for _ in range(5 + k % 15)).strip() or "abcde"
+        b = list(a)
+        for _ in range(rnd.randrange(1, 4)):
+            at = rnd.randrange(len(b))
+            b[at] = rnd.choice(["", "z", b[at] + "y"])
+        if max(len(a), len(b := re.sub(" +", " ", "".join(b)).strip())) < 20:
+            pairs.append((re.sub(" +", " ", a), b))
+    base = "tre abcde reç eaureê trementé aieauquetion rereelle fghij abc tre ètionellepa"
+    pairs.append((base, " ".join(w + "!" for w in base.split())))
+    many = "aaaaaaaaaaaa bbbbbbbbbbb cccccccccc ddddddddd eeeeeeee fffffff " + " ".join(f"w{i}" for i in range(60))
+    pairs.append((many, many.replace("aaaaaaaaaaaa", "x").replace("bbbbbbbbbbb", "y").replace("cccccccccc", "z")))
+    similar = [a != b and "" not in (a, b) and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    out = {r.doc_id: r.removed for r in L.fuzzy_lines(docs([(i, "\n".join(p)) for i, p in enumerate(pairs)])).collect()}
+    assert sum(similar) > 60 and similar[0] and similar[1] and similar[2] and similar[-2] and similar[-1]
+    assert [pairs[i] for i, s in enumerate(similar) if s and 1 not in out[i]] == []
