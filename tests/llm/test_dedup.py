@@ -346,3 +346,22 @@ def test_fuzzy_lines_keys(docs):
     out = {r.doc_id: r.removed for r in L.fuzzy_lines(docs([(i, "\n".join(p)) for i, p in enumerate(pairs)])).collect()}
     assert sum(similar) > 60 and similar[0] and similar[1] and similar[2] and similar[-2] and similar[-1]
     assert [pairs[i] for i, s in enumerate(similar) if s and 1 not in out[i]] == []
+
+
+def test_letters_leave_a_least_distance(spark):
+    """The bound by letters is never above the distance, with any characters, and settles strangers of other letters."""
+    rnd = random.Random(14)
+    pairs = [("", ""), ("", "aé"), ("aab", "abb"), ("x" * 300, "y" * 290), ("ééü", "éa "), ("日本語 z", "日本 zz"), ("🙂a", "a🙂🙂"), ("A\\'b", "'%_")]
+    for k in range(200):
+        a = "".join(rnd.choice("abcdefgh éü.7日") for _ in range(rnd.randrange(60)))
+        b = list(a) if k % 2 else [rnd.choice("abc xyz.é") for _ in range(len(a))]
+        for _ in range(rnd.randrange(8)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.choice("aé z"))
+            del b[rnd.randrange(len(b))]
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "x string, y string").selectExpr("x", "y", L._letters("x") + " as u", L._letters("y") + " as v")
+    out = df.selectExpr("x", "y", "u", L._least("u", "v") + " as least", L._similar("x", "y", 0.8, "u", "v") + " as met").collect()
+    assert len(out) == len(pairs) and all(sum(r.u) == len(r.x) for r in out)
+    assert [(r.x, r.y) for r in out if r.least > edit(r.x, r.y)] == []
+    assert [(r.x, r.y) for r in out if r.met != (edit(r.x, r.y) <= int(0.2 * max(len(r.x), len(r.y)) + 1e-9))] == []
+    assert next(r.least for r in out if r.x == "x" * 300) == 300 and sum(r.least > 0.2 * max(len(r.x), len(r.y)) for r in out) > 60
