@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -105,6 +106,15 @@ class Packer:
 
 _CACHES: dict[str, PieceCache] = {}
 LONG = 64  # bytes; longer words go to the library
+ROWS = 4096  # words that are encoded side by side
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordTokenizer:
@@ -138,33 +148,43 @@ class WordTokenizer:
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct lower-case words."""
         out: dict[str, bytes] = {}
-        coded = sorted(((w.encode(), w) for w in words), key=lambda x: len(x[0]))
-        for lo in range(0, len(coded), 4096):
-            some = coded[lo : lo + 4096]
-            matrix, length = byte_matrix([b for b, _ in some])
+        coded = list(map(str.encode, words))
+        order = np.argsort(np.fromiter(map(len, coded), np.int64, len(coded)), kind="stable").tolist()
+        for lo in range(0, len(order), ROWS):
+            some = order[lo : lo + ROWS]
+            matrix, length = byte_matrix([coded[i] for i in some])
             cols = np.arange(matrix.shape[1])
             ids = np.where(cols < length[:, None] - 1, self.inner[matrix], np.where(cols == length[:, None] - 1, self.final[matrix], -1))
             ids = self.merges.encode(ids.astype(np.int32))
             count = (ids >= 0).sum(1)
             data = ids[cols < count[:, None]].astype("<u4").tobytes()
             ends = (4 * np.cumsum(count)).tolist()
-            out.update((w, data[a:b]) for (_, w), a, b in zip(some, [0, *ends], ends, strict=False))
+            out.update(zip([words[i] for i in some], [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         return out
 
-    def split(self, piece: str) -> list[str] | tuple[str, ...] | None:
-        """Lower-case words of a piece, None if it is one for the library."""
-        if len(piece) >= LONG // 2 or not (piece.isascii() or max(piece) <= "\xff"):
-            return None
-        if piece.isalpha():
-            return (piece.lower(),)
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-            return piece[:-1].lower(), piece[-1]
-        if any(a in piece for a in self.added):
-            return None
-        return self.pattern.findall(piece.lower())
+    def split(self, pieces: list[str]) -> list[Sequence[str] | None]:
+        """Lower-case words of each piece, None if it is one for the library. Pieces hold no spaces, so that all can
+        be looked at and lower-cased as one text."""
+        whole = " ".join(pieces)
+        good = [len(p) < LONG // 2 for p in pieces]
+        if not _latin(whole):
+            good = [g and _latin(p) for g, p in zip(good, pieces, strict=True)]
+        if any(a in whole for a in self.added):
+            good = [g and not any(a in p for a in self.added) for g, p in zip(good, pieces, strict=True)]
+        if not any(good):
+            return [None] * len(pieces)
+        low = iter(" ".join([p for g, p in zip(good, pieces, strict=True) if g]).lower().split(" "))
+        return [self._split(next(low)) if g else None for g in good]
+
+    def _split(self, low: str) -> Sequence[str]:
+        if low.isalpha():
+            return (low,)
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return low[:-1], low[-1]
+        return self.pattern.findall(low)
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        split = list(map(self.split, pieces))
+        split = self.split(pieces)
         words = self.words(list({w for ws in split if ws for w in ws}))
         out = [b"" if ws is None else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in split]
         other = [i for i, ws in enumerate(split) if ws is None]
@@ -174,19 +194,28 @@ class WordTokenizer:
 
 
 def token_cache(path: str) -> PieceCache:
-    """Cache over a tokenizer file whose pre-tokenizer never joins text across a space."""
+    """Cache over a tokenizer file whose pre-tokenizer never joins text across a space or a line's end."""
     if path not in _CACHES:
         _CACHES[path] = PieceCache(WordTokenizer(path))
     return _CACHES[path]
 
 
-def token_bytes(texts: list[str], cache: PieceCache, end: int | None = END) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers."""
-    cuts = [t.split(" ") for t in texts]
-    ids = cache.look_up([p for c in cuts for p in c])
+def token_bytes(texts: pa.Array, cache: PieceCache, end: int | None = END) -> list[bytes]:
+    """Ids of each text (none null) as little-endian 32-bit numbers. A line's end counts as a space, so that
+    the last word of a line and the first of the next are no piece of their own. Each distinct
+    piece is looked up once; its ids are laid down in all its places together."""
+    cuts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    coded = cuts.flatten().dictionary_encode()
+    ids = cache.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    at = coded.indices.to_numpy()
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    start = np.cumsum(size) - size
+    ends = np.concatenate([[0], np.cumsum(size[at])])  # where the ids of each piece begin and end
+    places = np.repeat(start[at] - ends[:-1], size[at]) + np.arange(ends[-1])
+    data = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
-    ends = np.cumsum([0, *map(len, cuts)]).tolist()
-    return [b"".join(ids[a:b]) + tail for a, b in zip(ends, ends[1:], strict=False)]
+    bounds = (4 * ends[cuts.offsets.to_numpy()]).tolist()
+    return [data[a:b] + tail for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -216,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in slices(batch, "text"):
                 with no_collector():
-                    tokens = token_bytes(part.column(1).to_pylist(), cache, end)
+                    tokens = token_bytes(part.column(1), cache, end)
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokens, strict=True):
                     rows.extend(packer.add(doc_id, ids))
                     if len(rows) >= 20_000:

@@ -20,15 +20,18 @@ class PieceCache:
         absent = [i for i, v in enumerate(out) if v is None]
         if not absent:
             return out
-        found = {pieces[i]: None for i in absent}
-        old = self.old.get
-        rest = [p for p in found if (v := old(p)) is None or found.update({p: v})]
+        asked = [pieces[i] for i in absent]
+        distinct = dict.fromkeys(asked)
+        found = dict(zip(distinct, map(self.old.get, distinct), strict=True))
+        rest = [p for p, v in found.items() if v is None]
         found.update(zip(rest, self.encode(rest), strict=True))
-        for i in absent:
-            out[i] = found[pieces[i]]
+        for i, v in zip(absent, map(found.__getitem__, asked), strict=True):
+            out[i] = v
         if len(self.new) + len(found) > self.most:
             self.old, self.new = self.new, {}
-        self.new.update((p, v) for p, v in found.items() if len(p) <= self.longest)
+        if max(map(len, found)) > self.longest:
+            found = {p: v for p, v in found.items() if len(p) <= self.longest}
+        self.new.update(found)
         return out
 
 

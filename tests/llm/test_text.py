@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -128,6 +129,26 @@ def test_packing(spark, docs):
     assert K.pack(docs([]), WORD).count() == 0
 
 
+def test_packing_looks_up_each_word_once():
+    """Of a batch each distinct piece is asked once, the words at both sides of a line's end are no piece of their
+    own, and the ids are the library's."""
+    lib, cache, asked = Tokenizer.from_file(WORD), K.PieceCache(K.WordTokenizer(WORD), most=40), []
+
+    def look_up(pieces, own=cache.look_up):
+        asked.append(pieces)
+        return own(pieces)
+
+    cache.look_up = look_up
+    rnd = random.Random(21)
+    texts = ["", " ", "\n", "a\nb", "a \n b", "e\n\u0301x", "a\r\nb\x85c", "<|endoftext|>\nx", "x<|endoftext|>.\n<|startoftext|>", "日本\nß Éa'S\n's", "İI\nSS ΑΣ\nΣ", "é" * 40 + "\n" + "Z" * 100, "it'\ns don't,\n.\n.,"]
+    texts += ["".join(rnd.choice(["ab", "Word", "éÜ", "日", ".", ",!", "7", "\n", " ", "  ", "\t"]) for _ in range(rnd.randrange(80))) for _ in range(60)]
+    for part in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        asked.clear()
+        got = K.token_bytes(part, cache)
+        assert got == [np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in part.to_pylist()]
+        assert [len(set(x)) for x in asked] == [len(x) for x in asked] and not any("\n" in p or " " in p for x in asked for p in x)
+
+
 def test_cheapest_room_first():
     placed, left = K.assign(np.array([5, 9, 4, 1]), np.array([10, 10]))
     assert not left and sorted(n for _, _, n, _ in placed) == [1, 4, 5, 9]
