@@ -365,3 +365,18 @@ def test_letters_leave_a_least_distance(spark):
     assert [(r.x, r.y) for r in out if r.least > edit(r.x, r.y)] == []
     assert [(r.x, r.y) for r in out if r.met != (edit(r.x, r.y) <= int(0.2 * max(len(r.x), len(r.y)) + 1e-9))] == []
     assert next(r.least for r in out if r.x == "x" * 300) == 300 and sum(r.least > 0.2 * max(len(r.x), len(r.y)) for r in out) > 60
+
+
+def test_proof_word_by_word(spark):
+    """Texts of as many words are proved near by the sum of their words' distances; never where the distance is more."""
+    rnd = random.Random(15)
+    pairs = [("", "", 0), ("a b", "a", 9), ("ab cd", "ab ce", 1), ("ab cd", "ab ce", 0)]
+    for k in range(120):
+        w = text(rnd, 4 + k % 30).split()
+        v = [rnd.choice([x, x, x, x[:-1], x + "é", "other"]) for x in w]
+        pairs.append((" ".join(w), " ".join(v[k % 5 == 0 :]), rnd.randrange(40)))
+    out = spark.createDataFrame(pairs, "x string, y string, k int").selectExpr("x", "y", "k", L._by_words("x", "y", "k") + " as proved").collect()
+    for r in out:
+        v, w = r.x.split(" "), r.y.split(" ")
+        assert r.proved == (len(v) == len(w) and sum(map(edit, v, w)) <= r.k) and (not r.proved or edit(r.x, r.y) <= r.k)
+    assert 20 < sum(r.proved for r in out) < 100
