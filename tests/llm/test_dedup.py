@@ -380,3 +380,55 @@ def test_proof_word_by_word(spark):
         v, w = r.x.split(" "), r.y.split(" ")
         assert r.proved == (len(v) == len(w) and sum(map(edit, v, w)) <= r.k) and (not r.proved or edit(r.x, r.y) <= r.k)
     assert 20 < sum(r.proved for r in out) < 100
+
+
+def test_fuzzy_lines_of_a_shared_passage(docs, monkeypatch):
+    """Strangers that share a passage at different places are not compared in the second round, and similar lines
+    among them are still met."""
+    rnd = random.Random(16)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = [word(12) for _ in range(5)]
+    lines = []
+    for k in range(60):
+        w = [word(rnd.randrange(2, 9)) for _ in range(70)]
+        at = k * 70 // 60
+        lines.append(w[:at] + passage + w[at:])
+    rows = [" ".join(w) for w in lines] + [" ".join(w[:at] + ["other"] + w[at + 1 :]) for w in lines[20:40:5] for at in (0, 74)]
+    met, check = [], L._verified
+
+    def counted(pairs, texts, similar):
+        met.append(pairs.count())
+        return check(pairs, texts, similar)
+
+    monkeypatch.setattr(L, "_verified", counted)
+    out = {r.doc_id: r.n_removed for r in L.fuzzy_lines(docs(list(enumerate(rows)))).collect()}
+    assert {i: n for i, n in out.items() if n} == {i: 1 for i in range(60, len(rows))}
+    assert len(met) == 2 and met[1] < len(rows) * (len(rows) - 1) / 2 * 0.4
+
+
+def test_words_left_alone_are_in_place(spark):
+    """A key's places never rule out lines whose edits leave its words alone, wherever the edits are and whatever they are."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(17)
+    longest = ["abcdefghijklmnopq", "éeabcdefghijklmn", "qwertzuiopasdfgh", "yxcvbnmasdfghjkl", "mnbvcxzlkjhgfdsa"]
+    rows, far = [], 0
+    for k in range(120):
+        w = text(rnd, 6 + k).split()
+        for x in longest:
+            w.insert(rnd.randrange(len(w) + 1), x)
+        a = " ".join(w)
+        left, v, most = int(0.2 * len(a) + 1e-9), list(w), k % 4 * 0.25
+        for i in sorted(range(len(w)), key=lambda i: i if k % 2 else -i):  # all at one end, in whole words
+            cost = len(w[i]) + 1
+            if w[i] not in longest and cost <= left and rnd.random() >= most:
+                v[i], left = None, left - cost
+        b = " ".join(x for x in v if x is not None)
+        assert edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        far += abs(a.index(longest[0]) - b.index(longest[0])) > 0.1 * len(a)
+    lines = spark.createDataFrame(rows, "line bigint, norm string")
+    found = L._keyed(lines).join(L._places(lines), "line").select("key", "line", "size", F.expr(L._placed("pair", "places")).alias("at"))
+    left, right = found.toDF("key", "a", "m", "u"), found.toDF("key", "b", "n", "v")
+    both = left.join(right, "key").where("a % 2 = 0 and b = a + 1").selectExpr("a", f"{L._in_place('u', 'v', 'm', 'n', 0.8)} as fits", f"u <> {L.ANYWHERE * 257} as placed").collect()
+    assert len(both) == 1200 and all(r.fits and r.placed for r in both) and far > 10
