@@ -428,7 +428,7 @@ def test_words_left_alone_are_in_place(spark):
         rows += [(2 * k, a), (2 * k + 1, b)]
         far += abs(a.index(longest[0]) - b.index(longest[0])) > 0.1 * len(a)
     lines = spark.createDataFrame(rows, "line bigint, norm string")
-    found = L._keyed(lines).join(L._places(lines), "line").select("key", "line", "size", F.expr(L._placed("pair", "places")).alias("at"))
+    found = L._keyed(lines).join(L._places(lines), "line").select("key", "line", F.expr(L._size("spot")).alias("size"), F.expr(L._placed("spot", "places")).alias("at"))
     left, right = found.toDF("key", "a", "m", "u"), found.toDF("key", "b", "n", "v")
     both = left.join(right, "key").where("a % 2 = 0 and b = a + 1").selectExpr("a", f"{L._in_place('u', 'v', 'm', 'n', 0.8)} as fits", f"u <> {L.ANYWHERE * 257} as placed").collect()
     assert len(both) == 1200 and all(r.fits and r.placed for r in both) and far > 10
