@@ -8,12 +8,14 @@ sequential reader, which mends false markers and names defects.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from blockloom.errors import ERROR_TYPE, BlockError
 from blockloom.functions import kernels as K
@@ -70,6 +72,68 @@ def segments(found: DataFrame, key: str = "path") -> DataFrame:
     return found.withColumn("end_bit", F.lead("bit").over(own))
 
 
+def per_row(rows: DataFrame, column: str, work: Callable[[bytes | None], tuple], fields: dict[str, str], most: int = 1 << 20) -> DataFrame:
+    """Each row with `column` taken away and the values of work(value of the column) added as `fields` (name: type), in one
+    Python worker a task that holds about `most` bytes of the column's values besides Spark's own batch."""
+    kept = [c for c in rows.columns if c != column]
+    added = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    schema = StructType([*rows.select(*kept).schema.fields, *added.fields])
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def cuts(values: pa.Array) -> Iterator[tuple[int, int]]:
+        lo = size = 0
+        for i, v in enumerate(values):
+            size += 64 + (len(v.as_buffer()) if v.is_valid else 0)
+            if size >= most:
+                yield lo, i + 1
+                lo, size = i + 1, 0
+        if lo < len(values):
+            yield lo, len(values)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            names = batch.schema.names
+            for lo, hi in cuts(batch.column(names.index(column))):
+                part = batch.slice(lo, hi - lo)
+                made = list(zip(*(work(v.as_py()) for v in part.column(names.index(column))), strict=True))
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names=schema.names)
+
+    return rows.select(*kept, F.col(column).cast("binary").alias(column)).mapInArrow(run, schema)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: a small file is one task of Spark's, however long its rows take."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+_HELD = {"raw": "binary", "members": "bigint", "blocks": "bigint", "raw_len": "bigint", "crc": "bigint", "error_code": "string"}
+
+
+def inspect(rows: DataFrame, content: str = "content", raw: bool = True) -> DataFrame:
+    """Each row with what its archive holds instead of the archive: output, good members and blocks, bytes, the last
+    block's checksum, the code of the defect that ended it. Null has nulls. Nothing is grouped, so keys
+    may be null or come more than once."""
+
+    def held(content: bytes | None) -> tuple:
+        if content is None:
+            return (None,) * len(fields)
+        parts, members, blocks, crc, code = [], 0, 0, None, None
+        try:
+            for b in strict.blocks(content):
+                if b["block"] is None:
+                    members += 1
+                else:
+                    parts.append(b["out"])
+                    blocks, crc = blocks + 1, b["crc"]
+        except BlockError as e:
+            code = e.code
+        found = members, blocks, sum(map(len, parts)), crc, code
+        return (b"".join(parts), *found) if raw else found
+
+    fields = {n: t for n, t in _HELD.items() if raw or n != "raw"}
+    return per_row(rows, content, held, fields)
+
+
 def blocks(archives: DataFrame, key: str = "path") -> DataFrame:
     """Inventory of good blocks, with the defect that ended an archive in a last row: (key, member,
     block, level, start_bit, end_bit, crc, raw_len, error_code). Member ends have block null."""

@@ -49,3 +49,24 @@ def test_member_headers_reads_every_part(spark, duck):
     rows = core.QUERIES["member_headers"](spark, FOLDER).select("p_partkey", "level").collect()
     assert len(rows) == duck.execute("SELECT count(*) FROM part").fetchone()[0]
     assert {r.level for r in rows} == set(range(1, 10)) and all(r.level == 1 + r.p_partkey % 9 for r in rows)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Tables with nulls, blanks and keys that are null or come twice, and DuckDB over them."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").limit(4)
+    extra = [(1, "again"), (1, None), (2, ""), (2, ""), (900, None), (901, ""), (None, "no id"), (None, None), (None, ""), (902, "long " * 30_000), (903, "long é" * 60_000)]
+    langs = ["en", None, "", "xx"]
+    docs.union(spark.createDataFrame([(i, t, langs[k % 4]) for k, (i, t) in enumerate(extra)], docs.schema)).coalesce(3).write.parquet(f"{folder}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return folder, c
+
+
+@pytest.mark.parametrize("name", ["block_inventory", "roundtrip_documents"])
+def test_query_on_odd_rows(spark, odd, name):
+    folder, duck = odd
+    df = core.QUERIES[name](spark, folder)
+    want = duck.execute(core.ORACLES[name])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
