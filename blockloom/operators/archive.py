@@ -193,11 +193,14 @@ _DECODED = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("bytes", pa.bi
 
 
 def _sequential(name: str, content: bytes, options: DecodeOptions, seq: int = 0) -> Iterator[tuple]:
+    first = seq
     try:
         for b in strict.blocks(content, options):
             for part in K.chunks(b["out"], options.output_chunk_size):
                 yield name, seq, part, None
                 seq += 1
+        if seq == first:
+            yield name, seq, b"", None
     except BlockError as e:
         yield name, seq, None, e.row()
 
@@ -206,8 +209,8 @@ WHOLE = 256 << 10  # bytes
 
 
 def decode(archives: DataFrame, key: str = "path", fake_markers: DataFrame | None = None, whole_below: int = WHOLE, **options) -> DataFrame:
-    """(key, seq, bytes, error): the output of each archive in chunks, in the order of seq. Blocks before a
-    defect stay; the defect is the last row. Segments between markers are decoded in parallel: a
+    """(key, seq, bytes, error): the output of each archive in chunks, in the order of seq, one empty chunk
+    if there is none. Blocks before a defect stay; the defect is the last row. Segments between markers are decoded in parallel: a
     task gets segments' bytes, not the archive, and no task gathers what an archive unfolds to.
     Archives of less than `whole_below` bytes are read by one task each, since cutting them up costs more
     than reading them; so are those with several members, false markers or defects, which the reader
@@ -270,7 +273,7 @@ def _regular_segments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for name, value, fake in zip(*batch.columns, strict=True):
                 content = value.as_py() or b""
                 found = sorted({*K.markers(content), *((f["bit"], f["kind"]) for f in fake.as_py() or ())})
-                if not regular(content, found):
+                if len(found) < 2 or not regular(content, found):
                     yield name.as_py(), -1, 0, 0, 0, None
                     continue
                 for i, ((bit, _), (end, _)) in enumerate(zip(found, found[1:], strict=False)):

@@ -64,7 +64,7 @@ def odd(spark, tmp_path_factory):
     return folder, c
 
 
-@pytest.mark.parametrize("name", ["block_inventory", "roundtrip_documents"])
+@pytest.mark.parametrize("name", ["block_inventory", "parallel_encode_decode", "roundtrip_documents"])
 def test_query_on_odd_rows(spark, odd, name):
     folder, duck = odd
     df = core.QUERIES[name](spark, folder)
