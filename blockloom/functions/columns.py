@@ -22,11 +22,18 @@ def _binary(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
-def bz2_compress(column: Column | str, level: int = 9, backend: str = "fast") -> Column:
+def bz2_compress(column: Column | str, level: int | Column = 9, backend: str = "fast") -> Column:
     """Each value as an archive of one member; null stays null, empty gives an empty member. The backend
-    'strict' does all stages itself, and makes other bytes."""
-    EncodeOptions(block_size=level)
+    'strict' does all stages itself, and makes other bytes. The level may be a column; a null level gives null."""
     coder = {"fast": K.compress, "strict": encoder.compress}[backend]
+    if isinstance(level, Column):
+
+        @F.pandas_udf(T.BinaryType())
+        def leveled(values: pd.Series, levels: pd.Series) -> pd.Series:
+            return pd.Series([None if v is None or pd.isna(n) else coder(v, EncodeOptions(block_size=int(n)).block_size) for v, n in zip(values, levels, strict=True)], dtype=object)
+
+        return leveled(_binary(column), level)
+    EncodeOptions(block_size=level)
 
     @F.pandas_udf(T.BinaryType())
     def run(values: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from blockloom.functions import columns as C
 from blockloom.functions import kernels as K
 from blockloom.plans import queries as core
 
@@ -85,6 +86,12 @@ def test_strict_encoder_keeps_every_name(spark, odd):
     assert {r.name: r.crc for r in got.collect()} == {n: K.crc32(n.encode()) if n else 0 for n, in duck.execute("SELECT c_name FROM customer").fetchall()}
 
 
-@pytest.mark.parametrize("name", ["strict_encoder_names"])
+@pytest.mark.parametrize("name", ["strict_encoder_names", "member_headers"])
 def test_a_small_file_is_dealt_out(spark, name):
     assert core.QUERIES[name](spark, FOLDER).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_level_may_be_a_column(spark):
+    df = spark.createDataFrame([("hello", 1), ("hello", 9), (None, 2), ("", 3), ("hello", None)], "t string, n int")
+    got = [r.p and bytes(r.p) for r in df.select(C.bz2_compress("t", df.n).alias("p")).collect()]
+    assert got == [K.compress(b"hello", 1), K.compress(b"hello", 9), None, K.compress(b"", 3), None]
