@@ -1,4 +1,5 @@
 import bz2
+import math
 import os
 import random
 import subprocess
@@ -196,6 +197,25 @@ def test_medians(spark):
     assert tuple(df.agg(stats.median("x"), stats.upper_median("x")).first()) == (25.0, 30.0)
 
 
+@pytest.mark.parametrize("few", [0, stats.FEW])
+def test_order_statistics_are_those_of_the_whole(spark, monkeypatch, few):
+    """Small, tied, null and far apart values, nulls as keys; many groups go another way."""
+    monkeypatch.setattr(stats, "FEW", few)
+    rnd = random.Random(3)
+    made = [(k, rnd.choice([None, 1.5, rnd.gauss(0, 1), rnd.random() * 1e9])) for k in [None, "a", "a", "b", "c"] for _ in range(300)]
+    made += [("one", 2.0), ("two", 2.0), ("two", 5.0), ("none", None), ("same", 7.0), ("same", 7.0), ("inf", math.inf), ("inf", -math.inf), ("inf", 3.0)]
+    df = spark.createDataFrame(made, "k string, x double")
+    points = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    got = stats.order_statistics(df, ["k"], "x", {**points, "upper": None}).select("k", *points, "upper").collect()
+    want = df.groupBy("k").agg(*stats.percentiles("x"), stats.upper_median("x").alias("upper")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_no_task_gathers_a_group_for_its_median(spark):
+    plan = stats.summary(spark.range(99).selectExpr("1 as k", "id as a", "id * 1.0D as x", "id as b"), ["k"], "a", "x", "b")._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "percentile_disc" not in plan and "_part" in plan
+
+
 def test_command_line(tmp_path):
     run = lambda *a, **k: subprocess.run([sys.executable, "-m", "blockloom.cli", *a], capture_output=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), **k)
     plain, packed, back = tmp_path / "a", tmp_path / "a.bz2", tmp_path / "b"
