@@ -8,6 +8,7 @@ sequential reader, which mends false markers and names defects.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -348,6 +349,112 @@ def _encode_slices(level: int):
     return run
 
 
+PART = 4 << 20  # bytes
+
+
+def encode_joined(rows: DataFrame, key: str, order: list[str], value: str, path: str, separator: bytes = b"\n", level: int = 9, part: int = PART) -> DataFrame:
+    """(key, part, content): the values of each key joined in order, as members that hold `part` bytes each and make one
+    archive one behind the other. Keys are not null; null values count as empty. No task holds a key's values or archive:
+    rows are sorted over the cluster, each task joins its own, and what it has is cut where the members
+    end. Bytes don't depend on the number of tasks. The joined pieces are kept at `path`."""
+    spark = rows.sparkSession
+    EncodeOptions(block_size=level)
+    ordered = rows.select(F.col(key).cast("string").alias("key"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)], F.col(value).cast("binary").alias("value"))
+    n = max(spark.sparkContext.defaultParallelism, 4 * rows.rdd.getNumPartitions())
+    by = [F.asc("key"), *[F.asc_nulls_last(f"order{i}") for i in range(len(order))]]
+    ordered = ordered.repartitionByRange(n, *by).sortWithinPartitions(*by).select("key", "value", F.spark_partition_id().alias("task"))
+    ordered.mapInArrow(_joined(separator), "key string, task int, lo bigint, n bigint, bytes binary").write.parquet(path)
+    pieces = spark.read.parquet(path)
+    held = pieces.groupBy("key", "task").agg(F.sum("n").alias("size"))
+    own = Window.partitionBy("key")
+    held = held.select("key", "task", (F.sum("size").over(own.orderBy("task")) - F.col("size")).alias("base"), (F.sum("size").over(own) - len(separator)).alias("total"))
+    placed = pieces.join(F.broadcast(held), ["key", "task"]).withColumn("at", F.col("base") + F.col("lo"))
+    placed = placed.withColumn("n", F.least("n", F.col("total") - F.col("at"))).where("n > 0")
+    first, last = f"greatest(at, p * {part}L)", f"least(at + n, (p + 1) * {part}L)"
+    cut = f"inline(transform(sequence(at div {part}, (at + n - 1) div {part}), p -> struct(p as part, {first} as at, substring(bytes, cast({first} - at + 1 as int), cast({last} - {first} as int)) as bytes)))"
+    dealt = placed.select("key", F.expr(cut)).repartition("key", "part").sortWithinPartitions("key", "part", "at")
+    return dealt.select("key", "part", "bytes").mapInArrow(_members(level), "key string, part bigint, content binary").withColumnRenamed("key", key)
+
+
+def _joined(separator: bytes, most: int = 1 << 20):
+    """Values of sorted rows one behind the other, a separator after each, in pieces of about `most` bytes."""
+    schema = pa.schema([("key", pa.string()), ("task", pa.int32()), ("lo", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+
+    def made(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, held, size, lo = None, [], 0, 0
+        for batch in parts:
+            for key, value, task in zip(*batch.columns, strict=True):
+                at = key.as_py(), task.as_py()
+                if at != now or size >= most:
+                    if held:
+                        yield *now, lo, size, b"".join(held)
+                    lo = lo + size if at == now else 0
+                    now, held, size = at, [], 0
+                held += [value.as_py() or b"", separator]
+                size += len(held[-2]) + len(separator)
+        if held:
+            yield *now, lo, size, b"".join(held)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(made(parts), schema)
+
+    return run
+
+
+def _members(level: int):
+    """The pieces of each part, which come in order, as one member."""
+    schema = pa.schema([("key", pa.string()), ("part", pa.int64()), ("content", pa.binary())])
+
+    def made(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, held = None, []
+        for batch in parts:
+            for key, part, piece in zip(*batch.columns, strict=True):
+                at = key.as_py(), part.as_py()
+                if at != now:
+                    if held:
+                        yield *now, K.compress(b"".join(held), level)
+                    now, held = at, []
+                held.append(piece.as_py())
+        if held:
+            yield *now, K.compress(b"".join(held), level)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(made(parts), schema)
+
+    return run
+
+
+def digests(chunks: DataFrame, keys: list[str], order: list[str], data: str = "bytes", error: str = "error") -> DataFrame:
+    """(keys, digest, n_bytes, defects): MD5 and length of each key's chunks in order, and its rows with an error, in a stream. The
+    sum can't be split, so a key is one task's; its chunks travel there compressed. Keys are strings and not null."""
+    schema = pa.schema([*((k, pa.string()) for k in keys), ("digest", pa.string()), ("n_bytes", pa.int64()), ("defects", pa.int64())])
+    squeeze = lambda v: ((None, 0) if v is None else (pa.compress(v, "zstd", asbytes=True), len(v)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            now, sum_, size, bad = None, None, 0, 0
+            for batch in parts:
+                for *at, packed, n, failed in zip(*batch.columns, strict=True):
+                    at = [k.as_py() for k in at]
+                    if at != now:
+                        if now is not None:
+                            yield *now, sum_.hexdigest(), size, bad
+                        now, sum_, size, bad = at, hashlib.md5(usedforsecurity=False), 0, 0
+                    if packed.is_valid:
+                        sum_.update(pa.decompress(packed.as_buffer(), n.as_py(), "zstd"))
+                        size += n.as_py()
+                    bad += failed.as_py()
+            if now is not None:
+                yield *now, sum_.hexdigest(), size, bad
+
+        yield from batches(made(), schema)
+
+    small = per_row(chunks.select(*keys, *order, F.col(error).isNotNull().alias("_bad"), F.col(data).alias("_data")), "_data", squeeze, {"_packed": "binary", "_n": "bigint"})
+    sorted_ = small.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ddl = ", ".join([*(f"`{k}` string" for k in keys), "digest string, n_bytes bigint, defects bigint"])
+    return sorted_.select(*keys, "_packed", "_n", "_bad").mapInArrow(run, ddl)
+
+
 def concatenate(parts: DataFrame, key: str, order: str) -> DataFrame:
     """Members of one key put one behind the other: an archive of several members."""
     return assemble(parts, key, order, "content")

@@ -1,6 +1,7 @@
 """Every query with SQL beside it, against DuckDB on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
 
@@ -10,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from blockloom.functions import columns as C
 from blockloom.functions import kernels as K
+from blockloom.functions import strict
 from blockloom.operators import archive as A
 from blockloom.plans import queries as core
 
@@ -61,7 +63,7 @@ def odd(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").limit(4)
     extra = [(1, "again"), (1, None), (2, ""), (2, ""), (900, None), (901, ""), (None, "no id"), (None, None), (None, ""), (902, "long " * 30_000), (903, "long é" * 60_000)]
     langs = ["en", None, "", "xx"]
-    docs.union(spark.createDataFrame([(i, t, langs[k % 4]) for k, (i, t) in enumerate(extra)], docs.schema)).coalesce(3).write.parquet(f"{folder}/documents.parquet")
+    docs.union(spark.createDataFrame([(i, t, langs[k % 4]) for k, (i, t) in enumerate(extra)], docs.schema)).coalesce(1).write.parquet(f"{folder}/documents.parquet")
     names = [(1, "Customer#1"), (1, "Customer#2"), (2, None), (None, "no key"), (3, "é" * 300), (4, "x" * 700)]
     spark.createDataFrame(names, "c_custkey bigint, c_name string").coalesce(1).write.parquet(f"{folder}/customer.parquet")
     c = duckdb.connect()
@@ -70,7 +72,7 @@ def odd(spark, tmp_path_factory):
     return folder, c
 
 
-@pytest.mark.parametrize("name", ["block_inventory", "parallel_encode_decode", "roundtrip_documents"])
+@pytest.mark.parametrize("name", ["block_inventory", "parallel_decode_by_lang", "parallel_encode_decode", "roundtrip_documents"])
 def test_query_on_odd_rows(spark, odd, name):
     folder, duck = odd
     df = core.QUERIES[name](spark, folder)
@@ -109,3 +111,19 @@ def test_per_row_in_pieces_of_any_size(spark, most):
     df = spark.createDataFrame([(i % 3, None if i % 7 == 0 else "x" * (i % 50)) for i in range(300)], "k int, t string")
     got = A.per_row(df, "t", lambda v: (None if v is None else len(v),), {"n": "bigint"}, most)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, df.selectExpr("k", "cast(length(t) as bigint) n").collect()))
+
+
+@pytest.mark.parametrize("part", [7, 1000, 1 << 22])
+def test_members_of_joined_values(spark, tmp_path, part):
+    """Whatever the parts' size and the number of tasks, the members are those of the whole text and one archive."""
+    made = [(k, i, None if i % 5 == 0 else f"{k}{i}é" * (i % 9)) for k in ("a", "b:c", "") for i in range(40)]
+    want = {k: "\n".join(t or "" for j, _, t in made if j == k).encode() for k in ("a", "b:c", "")}
+    df = spark.createDataFrame(made[::-1], "k string, i int, t string").repartition(3)
+    got: dict[str, list] = {}
+    for r in sorted(A.encode_joined(df, "k", ["i"], "t", f"file://{tmp_path}/joined", level=1, part=part).collect(), key=lambda r: r.part):
+        got.setdefault(r.k, []).append(bytes(r.content))
+    assert got == {k: [K.compress(v[i : i + part], 1) for i in range(0, len(v), part)] for k, v in want.items()}
+    assert {k: strict.decompress(b"".join(v)) for k, v in got.items()} == want
+    rows_ = [(k, i, bytearray(v[i : i + part]), None) for k, v in want.items() for i in range(0, len(v), part)] + [("a", 10**6, None, "bad")]
+    sums = A.digests(spark.createDataFrame(rows_, "k string, i int, bytes binary, error string"), ["k"], ["i"]).collect()
+    assert {r.k: (r.digest, r.n_bytes, r.defects) for r in sums} == {k: (hashlib.md5(v).hexdigest(), len(v), int(k == "a")) for k, v in want.items()}
