@@ -8,12 +8,13 @@ sequential reader, which mends false markers and names defects.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -243,10 +244,13 @@ def _parallel(every: DataFrame, o: DecodeOptions, n: int, fake: DataFrame | None
     segments_ = source.select("key", "content", "fake").mapInArrow(_regular_segments, "key string, block int, level int, shift int, n_bits bigint, part binary")
     decoded = segments_.repartition(n, "key", "block").mapInArrow(_decode_segments(o.output_chunk_size), "key string, seq bigint, bytes binary, bad boolean")
     decoded = decoded.persist(StorageLevel.DISK_ONLY)
-    bad = decoded.where("bad").select("key").distinct()
-    fast = decoded.where("not bad").join(bad, "key", "left_anti").select("key", "seq", "bytes", F.lit(None).cast(ERROR_TYPE).alias("error"))
-    rest = source.select("key", "content").join(bad, "key", "left_semi").union(every.where(~large | F.col("content").isNull()))
-    return fast.union(_in_sequence(rest, o))
+    fast, rest = decoded, every.where(~large | F.col("content").isNull())
+    # Counted at once: the parts below would else run side by side, and executors decode the same segments.
+    if decoded.where("bad").count():
+        bad = decoded.where("bad").select("key").distinct()
+        fast = decoded.where("not bad").join(bad, "key", "left_anti")
+        rest = source.select("key", "content").join(bad, "key", "left_semi").union(rest)
+    return fast.select("key", "seq", "bytes", F.lit(None).cast(ERROR_TYPE).alias("error")).union(_in_sequence(rest, o))
 
 
 _SEGMENTS = pa.schema([("key", pa.string()), ("block", pa.int32()), ("level", pa.int32()), ("shift", pa.int32()), ("n_bits", pa.int64()), ("part", pa.binary())])
@@ -359,11 +363,8 @@ def encode_joined(rows: DataFrame, key: str, order: list[str], value: str, path:
     end. Bytes don't depend on the number of tasks. The joined pieces are kept at `path`."""
     spark = rows.sparkSession
     EncodeOptions(block_size=level)
-    ordered = rows.select(F.col(key).cast("string").alias("key"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)], F.col(value).cast("binary").alias("value"))
-    n = max(spark.sparkContext.defaultParallelism, 4 * rows.rdd.getNumPartitions())
-    by = [F.asc("key"), *[F.asc_nulls_last(f"order{i}") for i in range(len(order))]]
-    ordered = ordered.repartitionByRange(n, *by).sortWithinPartitions(*by).select("key", "value", F.spark_partition_id().alias("task"))
-    ordered.mapInArrow(_joined(separator), "key string, task int, lo bigint, n bigint, bytes binary").write.parquet(path)
+    _write_joined(rows, key, order, value, separator, path)
+    drop_shuffles(spark)
     pieces = spark.read.parquet(path)
     held = pieces.groupBy("key", "task").agg(F.sum("n").alias("size"))
     own = Window.partitionBy("key")
@@ -376,6 +377,22 @@ def encode_joined(rows: DataFrame, key: str, order: list[str], value: str, path:
     return dealt.select("key", "part", "bytes").mapInArrow(_members(level), "key string, part bigint, content binary").withColumnRenamed("key", key)
 
 
+def _write_joined(rows: DataFrame, key: str, order: list[str], value: str, separator: bytes, path: str) -> None:
+    ordered = rows.select(F.col(key).cast("string").alias("key"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)], F.col(value).cast("binary").alias("value"))
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, 4 * rows.rdd.getNumPartitions())
+    by = [F.asc("key"), *[F.asc_nulls_last(f"order{i}") for i in range(len(order))]]
+    ordered = ordered.repartitionByRange(n, *by).sortWithinPartitions(*by).select("key", "value", F.spark_partition_id().alias("task"))
+    pieces = ordered.mapInArrow(_joined(separator), "key string, task int, lo bigint, n bigint, bytes binary")
+    pieces.write.option("compression", "zstd").parquet(path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are done stay on the executors' disks until the driver happens to collect its
+    garbage. This collects it now, after a write whose files alone are read again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _joined(separator: bytes, most: int = 1 << 20):
     """Values of sorted rows one behind the other, a separator after each, in pieces of about `most` bytes."""
     schema = pa.schema([("key", pa.string()), ("task", pa.int32()), ("lo", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
